@@ -100,6 +100,7 @@ class Bins:
         """One step that takes tokens out of ``low``, the least filled bin, so squared fill rises."""
         gap = self.capacity - self.fill
         gap[low] = 0
+        gap[self.fill == 0] = 0  # emptied bins stay so
         others = np.flatnonzero((gap[self.bin] > 0) & (self.bin != low))
         if not len(others):
             return False
