@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pii, sharding
+from . import langid, neardup, packing, pii, sharding, url_filter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -37,11 +44,32 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_url_filter_cascade": op2_url_filter_cascade,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
     "op9_histogram_sharding": op9_histogram_sharding,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter_cascade": r"""
+        WITH split AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM split),
+        parts AS (
+            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+        ), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        best AS (
+            SELECT page_id, host, path, max(CASE WHEN (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) THEN lpad(CAST(length(h || p) AS VARCHAR), 4, '0') || h || p END) AS b
+            FROM parts CROSS JOIN rules GROUP BY page_id, host, path
+        )
+        SELECT page_id, host, path, substr(b, 5) AS rule, coalesce((SELECT v FROM rules WHERE h || p = substr(b, 5)), 'allow') AS verdict FROM best
+    """,
+}
