@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, pii, sharding, url_filter
+from . import decontam, langid, neardup, packing, pii, sharding, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -48,11 +48,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter_cascade": op2_url_filter_cascade,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
+    "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op9_histogram_sharding": op9_histogram_sharding,
     "op10_language_id": op10_language_id,
 }
