@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, pii, sharding, toxicity, url_filter
+from . import decontam, fingerprints, langid, neardup, packing, pii, sharding, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
+    "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_histogram_sharding": op9_histogram_sharding,
     "op10_language_id": op10_language_id,
