@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, neardup, packing, pii, sharding, toxicity, url_filter
+from . import decontam, fingerprints, langid, neardup, packing, pii, sharding, toxicity, url_filter, warc
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op2_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))[1]
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -63,6 +67,7 @@ def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter_cascade": op2_url_filter_cascade,
+    "op3_seekable_warc": op3_seekable_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_spans": op5_pii_spans,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
@@ -87,4 +92,12 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, substr(b, 5) AS rule, coalesce((SELECT v FROM rules WHERE h || p = substr(b, 5)), 'allow') AS verdict FROM best
     """,
+    "op3_seekable_warc": """
+        WITH base AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), top AS (SELECT payload_digest, max(page_id) AS response_id FROM base WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> response_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+        FROM base LEFT JOIN top USING (payload_digest)
+    """,
 }
