@@ -1,8 +1,8 @@
 """Registered queries of the concept index, and the same queries in SQL."""
 
-from . import relational
+from . import relational, textual
 
-MODULES = (relational,)
+MODULES = (relational, textual)
 
 
 def queries() -> dict:
