@@ -29,8 +29,10 @@ SAMPLE = 4000
 FOLDS = 3
 ROUNDS = 100
 PENALTY = 0.001
-#: A feature must occur in this many sample documents, and in this share at most.
+#: A feature must occur in this many sample documents, and in this share at most ...
 RARE, COMMON = 4, 0.05
+#: ... unless it goes this far from a category's overall share towards certainty.
+TELLING = 0.5
 #: Word beginnings, in bytes, that are features beside the word.
 BEGINNINGS = (4, 6)
 
@@ -147,9 +149,15 @@ def fit_chain(found: np.ndarray, bounds: np.ndarray, truth: np.ndarray, categori
     """found: each row's distinct features; truth: a column per category, in the order of the chain; folds: the fold of each row."""
     n = len(bounds) - 1
     keys, place, df = np.unique(found, return_inverse=True, return_counts=True)
-    use = (df >= RARE) & (df <= max(RARE, COMMON * n))
+    of = np.repeat(np.arange(n), np.diff(bounds))
+    telling = np.zeros(len(keys), bool)
+    for c in range(truth.shape[1]):
+        share = truth[:, c].mean() if n else 0.0
+        rate = np.bincount(place, weights=truth[of, c], minlength=len(keys)) / df
+        telling |= rate - share >= TELLING * (1 - share)
+    use = (df >= RARE) & ((df <= max(RARE, COMMON * n)) | telling)
     number = np.cumsum(use) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))[use[place]]
+    row = of[use[place]]
     place, keys = number[place[use[place]]], keys[use]
     bounds = np.searchsorted(row, np.arange(n + 1))
     models, cuts, before = [], [], np.zeros((n, 0))
