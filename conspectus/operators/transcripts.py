@@ -62,7 +62,7 @@ def tfidf(found: DataFrame, key: str, total: int, least_df: int = 2) -> DataFram
     df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
     weighed = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + total) / (1.0 + F.col("df"))) + 1))
     norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, key).groupBy("term").agg(F.round(F.sum(F.col("w") / F.col("norm")) / total, 9).alias("score"))
+    return weighed.join(norms, key).groupBy("term").agg((F.sum(F.col("w") / F.col("norm")) / total).alias("score"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
