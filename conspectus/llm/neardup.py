@@ -3,12 +3,13 @@
 One Arrow pass turns every whole text into a key of its word sequence, its number
 of distinct shingles, a sketch and band hashes. Equal sequences form a class, and
 only classes take part from there on. Within a bucket (classes that agree in a
-band) the class that meets most others leads; all members are verified against
-the leader, which joins large groups with as many pairs as members. What a bucket
-still holds apart after that is compared in cells of bounded size: classes outside
-the bucket's largest component against all of its members, first by whole
-sketches, then on full shingle sets. No bucket is capped and no pair of copies is
-written out. Components come from alternating large-star and small-star steps.
+band) the class that meets most others leads. Each class is verified against the
+leader of one of its buckets, and then, round by round, one class of each component
+of a bucket against the leader of its largest: large groups are joined with about
+as many pairs as members. What a bucket still holds apart after that is compared
+in cells of bounded size: classes outside the bucket's largest component against
+all of its members, first by set sizes and whole sketches, then on full shingle
+sets. No bucket is capped and no pair of copies is written out. Components come from alternating large-star and small-star steps.
 
 Joins with hot keys are plain shuffle joins between stored tables, which adaptive
 execution splits; aggregates combine before their shuffle.
@@ -24,12 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, sketches, text
+from .url_filter import Bloom
 
-SKETCH = 128
+SKETCH = 256
+#: Coordinates that bands are made of.
+BANDED = 128
 #: Classes on either side of a cell, on average.
 CELL = 512
-#: Estimates this far below the threshold are not verified: five standard deviations at 128 coordinates.
-MARGIN = 0.16
+#: Estimates so many standard deviations below the threshold are not verified.
+DEVIATIONS = 5
+#: Documents whose ids a broadcast Bloom filter may hold, at ten bits each; beyond it texts are joined with the ids.
+MAX_BLOOM = 20_000_000
+#: Rounds that join components by their leaders before the rest is compared in cells.
+ROUNDS = 3
 
 Sketcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -65,18 +73,50 @@ def profile(docs: DataFrame, words: int, rows: int, count: int, sketcher: Sketch
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key1 long, key2 long, n_shingles long, sketch binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its hashed shingles, ascending."""
+def _bloom(ids: DataFrame) -> Bloom | None:
+    """A filter of long ids, its words combined on the executors; None where it would be too large."""
+    n = ids.count()
+    if n > MAX_BLOOM:
+        return None
+    empty = Bloom(np.zeros(-(-max(64, 10 * n) // 64), text.U), max(64, 10 * n), 7, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = common.column(batch, "id").to_numpy().view(text.U)
+            at = np.concatenate(list(empty.places(own, text.mix(own, 6))))
+            word, bit = (at >> text.U(6)).astype(np.int64), (text.U(1) << (at & text.U(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit)], names=["word", "bits"])
+
+    words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    empty.words[words["word"].to_numpy()] = words["bits"].to_numpy().view(text.U)
+    return empty
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and hashed shingles, ascending, of at least the documents with one of the ids (column id).
+
+    A Bloom filter of the ids goes to the texts, so no text is shuffled; the one in a
+    hundred other documents that it lets pass are sets that nothing asks for.
+    """
     common.small_batches(docs.sparkSession)
+    bloom = _bloom(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    wanted = docs.select("doc_id", "text").filter("doc_id is not null")
+    if bloom is None:
+        wanted = wanted.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = sent.value
         for batch in batches:
+            if bloom is not None:
+                own = common.column(batch, "doc_id").to_numpy().view(text.U)
+                batch = batch.filter(pa.array(bloom.has(own, text.mix(own, 6))))
             for part in common.slices(batch):
                 hashes, row, _, _ = text.words(common.column(part, "text"))
                 sets, bounds = text.shingles(hashes, row, part.num_rows, words)
                 yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), common.list_array(sets.view(np.int64), bounds, pa.int64())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return wanted.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
@@ -114,57 +154,105 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common_ >= percent * union).select("a", "b")
 
 
-def _cells(members: DataFrame, least: float) -> DataFrame:
-    """Pairs across components that may be similar, from members of buckets that are still apart.
+def _cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links across components, from members of buckets that are still apart.
 
-    members: bucket, rep, comp, sketch, n (bucket size), strays (members outside the
-    largest component), stray. A stray meets every member in cells of bounded size.
+    members: bucket, rep, comp, size (of its set), sketch, n (bucket size), strays (members outside the
+    largest component), stray, band (the bucket's number) and bands. A stray meets every
+    member in cells of bounded size; a pair counts in the first band that it shares,
+    and so once. Cells whose sketches propose pairs get the full sets of just those
+    members; what leaves a cell is a link only where it joins two components.
     """
+    share = percent / 100
+    least = share - DEVIATIONS * (share * (1 - share) / SKETCH) ** 0.5
     chunk = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
     wide = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("long")
     high = F.greatest(F.lit(1), F.ceil(F.col("strays") / CELL)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     one = members.select("*", chunk(wide, 1).alias("j")).select("*", every(high).alias("i"))
     two = members.filter("stray").select("*", chunk(high, 2).alias("i")).select("*", every(wide).alias("j"))
-    columns = ["rep", "comp", "sketch"]
+    columns = ["rep", "comp", "size", "sketch", "band", "bands"]
     cell = F.xxhash64("bucket", "i", "j").alias("cell")
     dealt = one.select(cell, F.lit(False).alias("asks"), *columns).unionByName(two.select(cell, F.lit(True).alias("asks"), *columns))
     dealt = dealt.repartition("cell").sortWithinPartitions("cell", "asks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(parts)
-            rep, comp = t["rep"].to_numpy(), t["comp"].to_numpy()
-            asks = t["asks"].to_numpy().astype(bool)
-            sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
-            have, mine = np.flatnonzero(~asks), np.flatnonzero(asks)
-            found = []
-            for x in mine:
-                alike = (sk[have] == sk[x]).mean(axis=1)
-                hit = have[(alike >= least) & (comp[have] != comp[x])]
-                found.append(np.stack([np.minimum(rep[hit], rep[x]), np.maximum(rep[hit], rep[x])]))
-            if not found or not (every := np.unique(np.concatenate(found, axis=1), axis=1)).size:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            cells = common.column(batch, "cell").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b <= a:
-                    continue
-                if held and cells[a] != last:
-                    if (out := pairs(held)) is not None:
-                        yield out
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = cells[a]
-        if held and (out := pairs(held)) is not None:
-            yield out
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def partners(t: pa.Table) -> pa.RecordBatch | None:
+        rep, comp = t["rep"].to_numpy(), t["comp"].to_numpy()
+        asks = t["asks"].to_numpy().astype(bool)
+        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        size, band = t["size"].to_numpy(), int(t["band"][0].as_py())
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        have, found = np.flatnonzero(~asks), {}
+        for x in np.flatnonzero(asks):
+            fits = have[(comp[have] != comp[x]) & (100 * np.minimum(size[have], size[x]) >= percent * np.maximum(size[have], size[x]))]
+            fits = fits[~(bands[fits, :band] == bands[x, :band]).any(axis=1)]
+            hit = fits[(sk[fits] == sk[x]).mean(axis=1) >= least]
+            if len(hit):
+                found[int(rep[x])] = rep[hit].tolist()
+        if not found:
+            return None
+        names = sorted({*found, *(r for own in found.values() for r in own)})
+        lists = [found.get(r, []) for r in names]
+        comps = dict(zip(rep.tolist(), comp.tolist(), strict=True))
+        cell = pa.array([t["cell"][0].as_py()] * len(names), pa.int64())
+        return pa.RecordBatch.from_arrays([cell, pa.array(names, pa.int64()), pa.array([comps[r] for r in names], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["cell", "rep", "comp", "partners"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            if (out := partners(t)) is not None:
+                yield out
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            rep, lists = t["rep"].to_pylist(), t["partners"].to_pylist()
+            own = t["shingles"].combine_chunks()
+            bounds, flat = np.asarray(own.offsets), own.values.to_numpy()
+            sets = {r: flat[bounds[k] : bounds[k + 1]].view(text.U) for k, r in enumerate(rep)}
+            root = dict(zip(rep, t["comp"].to_pylist(), strict=True))
+            up = {c: c for c in root.values()}
+
+            def find(c: int, up: dict = up) -> int:
+                while up[c] != c:
+                    c = up[c]
+                return c
+
+            edges = []
+            for x, others in zip(rep, lists, strict=True):
+                for y in others or ():
+                    one, two = find(root[x]), find(root[y])
+                    if one == two:
+                        continue
+                    small, large = sorted((sets[x], sets[y]), key=len)
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int((large[at] == small).sum())
+                    if 100 * both >= percent * (len(small) + len(large) - both):
+                        up[max(one, two)] = min(one, two)
+                        edges.append((min(x, y), max(x, y)))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    asked = dealt.mapInArrow(propose, "cell long, rep long, comp long, partners array<long>")
+    full = asked.join(sets.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "rep")
+    return full.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(verify, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches that are sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        cells = common.column(batch, "cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b <= a:
+                continue
+            if held and cells[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = cells[a]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher = _fss) -> DataFrame:
@@ -179,40 +267,44 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher
     """
     spark = docs.sparkSession
     work = common.Workspace(spark)
-    rows, count = sketches.banding(percent / 100, SKETCH)
+    rows, count = sketches.banding(percent / 100, BANDED)
     profiled = work.save(profile(docs, words, rows, count, sketcher), "profiles")
     keys = ["key1", "key2"]
     filled = profiled.filter("n_shingles > 0")
-    classes = work.save(filled.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    classes = work.save(filled.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     named = classes.filter("rep is not null")
-    exploded = named.select("rep", F.explode("bands").alias("bucket"))
+    exploded = named.select("rep", F.posexplode("bands").alias("band", "bucket"))
     multi = work.save(exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = work.save(exploded.join(multi, "bucket"), "members")
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = work.save(members.join(weight, "rep"), "weighed")
-    leaders = work.save(members.groupBy("bucket").agg(F.max(F.struct("weight", "rep"))["rep"].alias("leader")), "leaders")
-    star = members.join(leaders, "bucket").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    star = work.save(star.distinct(), "star")
-    sketch = named.select("rep", "sketch")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = work.save(shingle_sets(texts, words), "sets")
-    edges = work.save(_verified(star, sets, percent), "star-edges")
-    roots = components(edges, work)
-    # what a bucket still holds apart
-    placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    placed = work.save(placed, "placed")
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    apart = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.max("n").alias("n"), F.count("*").alias("comps"))
-    apart = work.save(apart.filter("comps > 1").select("bucket", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.c")).alias("strays")), "apart")
-    still = placed.join(apart, "bucket").select("bucket", "rep", "comp", "n", "strays", (F.col("comp") != F.col("main")).alias("stray"))
-    still = still.join(sketch, "rep")
-    more = work.save(_cells(still, percent / 100 - MARGIN), "candidates")
-    extra = work.save(_verified(more, sets, percent), "more-edges")
-    if extra.isEmpty():
-        final = roots
-    else:
-        final = components(edges.unionByName(extra), work)
+    leaders = work.save(members.groupBy("bucket").agg(F.max(F.struct("weight", "rep")).alias("leader")), "leaders")
+    led = members.join(leaders, "bucket").groupBy("rep").agg(F.max("leader")["rep"].alias("leader")).filter("rep <> leader")
+    star = work.save(led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "star")
+    sketch = named.select("rep", F.col("n_shingles").alias("size"), "sketch", "bands")
+    sets = work.save(shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), words), "sets")
+    roots = components(_verified(star, sets, percent), work)
+    tried = star
+    for _ in range(ROUNDS):
+        placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        placed = work.save(placed.select("bucket", "band", "rep", "weight", F.coalesce("root", "rep").alias("comp")), "placed")
+        tops = work.save(placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max(F.struct("weight", "rep")).alias("top")), "tops")
+        mains = tops.groupBy("bucket").agg(F.max(F.struct("c", "top.weight", "top.rep", "comp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps"))
+        apart = work.save(mains.filter("comps > 1").select("bucket", F.col("main.comp").alias("main"), F.col("main.rep").alias("leader"), "n", (F.col("n") - F.col("main.c")).alias("strays")), "apart")
+        tops = tops.join(apart.select("bucket", "main", "leader"), "bucket").filter("comp <> main").select(F.least("top.rep", "leader").alias("a"), F.greatest("top.rep", "leader").alias("b"))
+        fresh = work.save(tops.distinct().join(tried, ["a", "b"], "left_anti"), "leader-pairs")
+        more = work.save(_verified(fresh, sets, percent), "leader-edges")
+        if more.isEmpty():
+            break
+        tried = tried.unionByName(fresh)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(more), work)
+    # what a bucket still holds apart; a component of the last round may have grown since, which costs a comparison at most
+    still = placed.select("bucket", "band", "rep", "comp").join(apart.drop("leader"), "bucket")
+    still = still.select("bucket", "band", "rep", "comp", "n", "strays", (F.col("comp") != F.col("main")).alias("stray")).join(sketch, "rep")
+    extra = work.save(_cells(still, sets, percent), "more-edges")
+    final = roots
+    if not extra.isEmpty():
+        final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(extra), work)
     names = classes.select(*keys, "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("component_id"))
     names = work.save(names, "components")
     out = profiled.select("doc_id", *keys, "n_shingles").join(names, keys, "left")

@@ -34,7 +34,8 @@ def fast_sketch(sets: np.ndarray, bounds: np.ndarray, t: int) -> np.ndarray:
         place = (h % U(t)).astype(np.int64) if i < t else np.full(len(h), i - t)
         value = (U(i) << U(55)) | (mix(h, 1) >> U(9))
         np.minimum.at(out.reshape(-1), row * t + place, value)
-        live &= (out == top).any(axis=1)
+        at = np.flatnonzero(live)
+        live[at] = (out[at] == top).any(axis=1)
     return out
 
 
