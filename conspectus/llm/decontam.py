@@ -4,8 +4,11 @@ Fixed masks take some of the words in a window and ignore the others, so that a
 window whose ignored words were replaced still has the benchmark's hash. The hashes
 of all windows of all documents meet those of the benchmark; every hit fixes a
 diagonal (document, item, offset), and on it the item's words are compared with the
-document's, place by place. A diagonal is evidence if a stretch of it has enough
-equal words and few enough replaced ones.
+document's, place by place. A diagonal is evidence if any stretch of it has enough
+equal words and few enough replaced ones: more overlap around a stretch never hides it.
+
+By this rule a replacement of every fourth word throughout is no evidence for items of
+more than 15 words: no stretch of 13 equal words is then 80 % equal.
 
 The benchmark's hashes are broadcast in chunks of at most ``CHUNK_WORDS`` words: one
 pass over the documents for each chunk, one for any usual benchmark.
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 from . import common, text
 from .text import U
 
-#: Fixed seeds: six words are taken, the places of zeros are free. Together they hit windows
-#: with a replaced word every four, five or six words, or with none.
-MASKS = ("111111", "1110111", "1111011", "1101111", "11011011")
+#: Fixed seeds: six words are taken, the places of zeros are free. Together they hit every stretch
+#: of at least LEAST_WORDS equal words that is LEAST_SHARE equal, wherever its replaced words are.
+MASKS = ("111111", "1110111", "1111011", "1101111", "1111101", "1011111", "11011011")
+#: Items of up to SHORT_WORDS words need fewer equal words, which those can miss; they have this seed too.
+SHORT_MASK, SHORT_WORDS, FEWEST_WORDS = "111", 12, 6
 #: A stretch needs this many equal words (or this share of a shorter item) ...
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: ... where every replaced word takes back this many.
-COST = 2.0
+#: ... where every replaced word uses up this many equal ones.
+COST = round(LEAST_SHARE / (1 - LEAST_SHARE))
 CHUNK_WORDS = 1_000_000
 
 
@@ -43,6 +48,7 @@ class Seeds:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray  # a bit for each low part of a hash
+    short: bool  # whether SHORT_MASK has hashes
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, mask: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +70,12 @@ def seeds(ids: list[int], texts: list[str | None]) -> Seeds:
     words, rows, _, _ = text.words(pa.array(texts, pa.string()), letters_only=True)
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
     every, item, place = [], [], []
-    for k, mask in enumerate(MASKS):
+    size = np.diff(bounds)
+    for k, mask in enumerate((*MASKS, SHORT_MASK)):
         h, at = windows(words, rows, mask, k)
+        if mask == SHORT_MASK:
+            few = (size[rows[at]] >= FEWEST_WORDS) & (size[rows[at]] <= SHORT_WORDS)
+            h, at = h[few], at[few]
         every.append(h)
         item.append(rows[at])
         place.append(at - bounds[rows[at]])
@@ -74,16 +84,19 @@ def seeds(ids: list[int], texts: list[str | None]) -> Seeds:
     bits = max(16, int(64 * max(1, len(h)) - 1).bit_length())
     table = np.zeros(1 << bits, bool)
     table[(h & U((1 << bits) - 1)).astype(np.int64)] = True
-    return Seeds(np.array(ids, np.int64), words, bounds, h[order], item_[order], place_[order], table)
+    return Seeds(np.array(ids, np.int64), words, bounds, h[order], item_[order], place_[order], table, bool(len(every[-1])))
+
 
+def stretch(equal: np.ndarray) -> int:
+    """The most equal words in any stretch that is at least LEAST_SHARE equal.
 
-def stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Equal words and length of the best stretch: each equal word counts 1, each other -COST."""
-    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -COST))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.argmin(sums[: end + 1]))
-    return int(equal[start:end].sum()), end - start
+    Such a stretch sums to 0 or more if each equal word counts 1 and each other -COST;
+    for each end, the first start whose prefix sum is no higher has the most equal words.
+    """
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -COST))])
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    count = np.concatenate([[0], np.cumsum(equal)])
+    return int((count - count[start]).max())
 
 
 def overlaps(words: np.ndarray, rows: np.ndarray, n_rows: int, found: Seeds) -> Iterator[tuple[int, int, float]]:
@@ -93,7 +106,7 @@ def overlaps(words: np.ndarray, rows: np.ndarray, n_rows: int, found: Seeds) ->
     begin = np.searchsorted(rows, np.arange(n_rows + 1))
     low = U(len(found.table) - 1)
     triples = []
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate((*MASKS, SHORT_MASK) if found.short else MASKS):
         h, at = windows(words, rows, mask, k)
         some = np.flatnonzero(found.table[(h & low).astype(np.int64)])
         h, at = h[some], at[some]
@@ -112,8 +125,8 @@ def overlaps(words: np.ndarray, rows: np.ndarray, n_rows: int, found: Seeds) ->
         own = found.words[found.bounds[item] : found.bounds[item + 1]]
         first, last = max(0, -shift), min(len(own), begin[row + 1] - begin[row] - shift)
         base = begin[row] + shift
-        same, length = stretch(own[first:last] == words[base + first : base + last])
-        if same >= min(LEAST_WORDS, LEAST_SHARE * len(own)) and same >= LEAST_SHARE * length:
+        same = stretch(own[first:last] == words[base + first : base + last])
+        if same >= min(LEAST_WORDS, LEAST_SHARE * len(own)):
             yield row, item, same / len(own)
 
 
@@ -131,8 +144,8 @@ def _chunk(benchmark: DataFrame, k: int, n: int) -> Seeds:
 def inspect(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, items (ids, comma-joined, ascending), best_match, kept.
 
-    best_match is the largest share of an item's words that stand in the document on one
-    diagonal. Null and empty texts match nothing; items shorter than a seed (six words)
+    best_match is the largest share of an item's words that stand in one stretch of the
+    document that is evidence. Null and empty texts match nothing; items shorter than a seed (six words)
     are no evidence; an item without an id is named -1. Repeated rows are inspected one
     by one, an empty table gives an empty table, other columns are left out.
     """

@@ -75,6 +75,35 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.inspect(docs.limit(0), bench).count() == 0 and decontam.inspect(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def brute_overlap(doc, item):
+    """Whether any stretch of any diagonal has 13 equal words (or 80 % of the item's) and is 80 % equal."""
+    for shift in range(-len(item) + 1, len(doc)):
+        equal = [0 <= i + shift < len(doc) and w == doc[i + shift] for i, w in enumerate(item)]
+        for a in range(len(equal)):
+            for b in range(a + 1, len(equal) + 1):
+                n = sum(equal[a:b])
+                if 5 * n >= 4 * (b - a) and (n >= 13 or 5 * n >= 4 * len(item)):
+                    return True
+    return False
+
+
+def test_decontamination_agrees_with_brute_force(spark):
+    rng = random.Random(6)
+    runs = lambda *sizes: [e for i, n in enumerate(sizes) for e in [i % 2 == 0] * n]
+    # equal and replaced words in turn; the second is the reviewer's, the third and fourth miss the seeds with gaps in the middle
+    kept = [runs(13), runs(13, 6, 13, 6, 13), runs(5, 1, 5, 1, 5, 1, 5), runs(5, 2, 5, 1, 1, 1, 5), [i % 4 < 3 for i in range(15)], [i % 4 < 3 for i in range(40)], runs(12, 9, 12), runs(4, 1, 4, 2), runs(5, 2, 5)]
+    for size in (6, 8, 9, 10, 11, 12, 13, 15, 16, 17, 24, 40, 59):
+        kept += [[rng.random() >= share for _ in range(size)] for share in (0.1, 0.2, 0.25, 0.3) for _ in range(6)]
+    items = [[f"i{k}w{i}" for i in range(len(e))] for k, e in enumerate(kept)]
+    docs = [[f"lead{i}" for i in range(5)] + [w if e else f"other{i}" for i, (w, e) in enumerate(zip(item, es, strict=True))] + ["end"] for item, es in zip(items, kept, strict=True)]
+    want = {k: brute_overlap(d, item) for k, (d, item) in enumerate(zip(docs, items, strict=True))}
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string")
+    got = {r.doc_id: r for r in decontam.inspect(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert {k: r.contaminated for k, r in got.items()} == want and all(r.items == str(k) for k, r in got.items() if want[k])
+    assert [want[k] for k in range(9)] == [True, True, True, True, True, False, False, False, True]
+    assert sorted(r.doc_id for r in decontam.keep_clean(frame(docs, "doc_id"), frame(items, "item_id")).collect()) == [k for k in want if not want[k]]
+
+
 def test_benchmark_chunks_agree_with_one_pass(spark, sf_dir, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = sorted(map(tuple, decontam.inspect(docs, bench).collect()))
