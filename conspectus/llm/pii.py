@@ -35,15 +35,29 @@ TAG = {k: f"<{k.upper()}>" for k in KINDS}
 _MARK = "\u0001"
 _DIGIT_MARKS = ("(?<=[0-9])[ -](?=[0-9])", _MARK)
 _LABEL_MARKS = (r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _MARK)
+#: Characters of an IBAN by country, as registered.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_START = "[A-Z]{2}[0-9]{2}"
+_IBAN = "|".join(
+    [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()]
+    + [rf"(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')}){_IBAN_START}(?: ?[A-Z0-9]){{11,30}}"]
+)
 _LOCAL = r"A-Za-z0-9._%+\x01-"
 _EXPRESSION = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9\x01])(?:[0-9]\x01?){11,18}[0-9](?![0-9\x01])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # what follows a country's length is left alone, and every start is tried: only the first four characters are consumed
+    "iban": rf"(?<![A-Za-z0-9])(?={_IBAN_START})(?=({_IBAN})(?![A-Za-z0-9])){_IBAN_START}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters that a match consumes, where its span is the expression's first group.
+_CONSUMED = {"iban": 4}
 #: A text without this cannot have a span of the kind, and skips the expression.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
@@ -96,16 +110,16 @@ def _confirmed(kind: str, match: Column) -> Column:
 def _spans(kind: str, text: Column, source: Column) -> Column:
     """The confirmed and scored spans of one kind, in order of place."""
     shape = "array<struct<kind:string,start:int,end:int,score:double>>"
-    pattern = F.lit(_EXPRESSION[kind])
+    pattern, consumed = F.lit(_EXPRESSION[kind]), _CONSUMED.get(kind)
     pieces = F.transform(
-        F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(0)).alias("m"), F.split(source, _EXPRESSION[kind], -1).alias("g")),
+        F.arrays_zip(F.regexp_extract_all(source, pattern, F.lit(1 if consumed else 0)).alias("m"), F.split(source, _EXPRESSION[kind], -1).alias("g")),
         lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n")),
     )
     placed = F.aggregate(
         F.filter(pieces, lambda x: x["m"].isNotNull()),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<m:string,start:int,end:int>>)").alias("out")),
         lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["n"]).alias("at"),
+            (acc["at"] + x["g"] + (F.lit(consumed) if consumed else x["n"])).alias("at"),
             F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("end")))).alias("out"),
         ),
         lambda acc: acc["out"],
@@ -121,6 +135,15 @@ def _spans(kind: str, text: Column, source: Column) -> Column:
     spans = F.transform(F.filter(placed, lambda x: _confirmed(kind, x["m"])), scored)
     if kind in ADDED:
         spans = F.filter(spans, lambda x: x["score"] >= KEEP)
+    if consumed:  # confirmed spans that overlap become one
+        last = lambda acc: F.try_element_at(acc, F.lit(-1))
+        spans = F.aggregate(
+            spans.cast(shape),
+            F.expr(f"cast(array() as {shape})"),
+            lambda acc, x: F.when((F.size(acc) == 0) | (last(acc)["end"] <= x["start"]), F.concat(acc, F.array(x))).otherwise(
+                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["kind"].alias("kind"), last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"), F.greatest(last(acc)["score"], x["score"]).alias("score"))))
+            ),
+        )
     if kind in _NEEDS:
         spans = F.when(F.contains(source if kind != "email" else text, F.lit(_NEEDS[kind])), spans)
     return F.coalesce(spans.cast(shape), F.expr(f"cast(array() as {shape})"))

@@ -63,6 +63,21 @@ def test_added_spans_need_checksum_or_context(spark):
     assert [("iban" in k, "ssn" in k) for k in kinds] == [(True, False), (True, False), (False, False), (False, True), (False, False)]
 
 
+def test_ibans_end_at_their_country_length(spark):
+    good = {
+        "DE89 3704 0044 0532 0130 00": "{} BIC COBADEFFXXX", "DE89370400440532013000": "{} 2024", "GB82 WEST 1234 5698 7654 32": "😀 {} SWIFT", "NO93 8601 1117 947": "{} 1 A {}",
+        "MT84MALT011000012345MTLCAST001S": "{} {} X", "FR14 2004 1010 0505 0001 3M02 606": "GB12 {} 7", "BE68 5390 0754 7034": "AB13 {} NL91ABNA0417164300",
+    }
+    texts = [t.format(*[code] * t.count("{}")) for code, t in good.items()]
+    bad = ["DE89370400440532013001 2024", "DE893704004405320130002024", "DE89 3704 0044 0532 0130 0", "xDE89370400440532013000 A", "DE89370400440532013000x", "GB82 WEST 1234 5698 7654 33 SWIFT", "AB12 CD34 EF56"]
+    rows = spark.createDataFrame(list(enumerate(texts + bad)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("iban")] for r in pii.report(rows).collect()}
+    want = {i: [(m.start(), m.end()) for m in re.finditer(f"{code}|NL91ABNA0417164300", texts[i])] for i, code in enumerate(good)}
+    assert got == want | {len(texts) + i: [] for i in range(len(bad))}
+    clean = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert clean[0] == "<IBAN> BIC COBADEFFXXX" and clean[6] == "AB13 <IBAN> <IBAN>" and clean[3] == "<IBAN> 1 A <IBAN>"
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, "write a@b.cc or 1.2.3.4!", "x", 0, "s"), (2, None, "y", 0, "s"), (3, "clean", "z", 5, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __email string, n_chars long, __spans string")
