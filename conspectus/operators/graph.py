@@ -6,6 +6,8 @@ checkpointed to the shared folder.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +69,20 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
 
 
-def shortest_paths(edges: DataFrame, source: int, most: int = 50) -> DataFrame:
-    """node, hops and path from one source; of equally short paths the one of least nodes in order."""
+def shortest_paths(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
+    """node, hops and path from one source; of equally short paths the one of least nodes in order.
+
+    All nodes that can be reached, however far; with ``most`` those within so many hops.
+    """
     spark = edges.sparkSession
+    n = spark.sparkContext.defaultParallelism  # unions would add partitions in every round
     seen = cut(spark.createDataFrame([(source, 0, [source])], "node long, hops int, path array<long>"))
     frontier = seen
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
         fresh = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("hops").alias("hops"), F.min("path").alias("path")))
         if fresh.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh))
+        seen = cut(seen.unionByName(fresh).coalesce(n))
         frontier = fresh
     return seen

@@ -106,6 +106,24 @@ def test_graphs_with_cycles(spark):
     assert {r.node: r.path for r in graph.shortest_paths(edges, 4).collect()}[3] == [4, 1, 2, 3]
 
 
+def test_shortest_paths_have_no_depth_limit(spark, sf_dir):
+    def brute(pairs, source):
+        hops, frontier = {source: 0}, [source]
+        for node in frontier:
+            for dst in sorted(d for s, d in pairs if s == node and d not in hops):
+                hops[dst] = hops[node] + 1
+                frontier.append(dst)
+        return hops
+
+    chain = [(i, i + 1) for i in range(1, 56)] + [(56, 1), (3, 1), (90, 91)]
+    got = graph.shortest_paths(spark.createDataFrame(chain, "src long, dst long"), 1).collect()
+    assert {r.node: r.hops for r in got} == brute(chain, 1) and max(r.hops for r in got) == 55
+    parts = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()]
+    steps = {(p, q % len(parts) + 1) for p in parts for q in (3 * p + 1, 2 * p)}
+    got = {r.node: r.hops for r in plans.queries()["shortest_path_all_p7"](spark, sf_dir).collect()}
+    assert got == brute(steps, 1) and max(got.values()) > 8
+
+
 def test_rate_limit_anchors_windows(spark):
     seconds = [0, 10, 20, 61, 62, 121, 122, 183]
     rows = [(1, i, float(s)) for i, s in enumerate(seconds)]
