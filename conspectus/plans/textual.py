@@ -196,11 +196,21 @@ def containment(spark, d):
 
 @query("cascade_lookup_k1", M.with_sql("concepts", "SELECT query, concept_id, CASE WHEN query = text THEN 1.0 ELSE 0.95 END AS similarity FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'the ' || p_name END AS query FROM part WHERE p_partkey <= 40) JOIN concepts ON text = query OR 'the ' || text = query"))
 def cascade_lookup(spark, d):
+    """Of the first 40 concepts' names only, which all hit exactly or by a variant, as its SQL has it; cascade_lookup_all_k1 has all names."""
     p = M.table(spark, d, "part").filter("p_partkey <= 40")
     wanted = p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("the "), F.col("p_name"))).alias("query")).distinct()
     return matching.cascade(wanted, M.concepts(spark, d).select("concept_id", "text"))
 
 
+@query("cascade_lookup_all_k1")
+def cascade_lookup_all(spark, d):
+    """All names as they are, with an article, and misspelt (without their second letter): those only the fuzzy step finds."""
+    name = F.col("p_name")
+    forms = F.array(name, F.concat(F.lit("the "), name), F.concat(F.substring(name, 1, 1), F.expr("substring(p_name, 3)")))
+    wanted = M.table(spark, d, "part").select("p_name").distinct().select(F.explode(forms).alias("query")).distinct()
+    return matching.cascade(wanted, M.concepts(spark, d).select("concept_id", "text"))
+
+
 _LCS = "list_reduce(list_transform(string_split(a, ''), lambda c: [CAST(unicode(c) AS BIGINT)]), lambda row, x: list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, j: list_append(acc, greatest(acc[len(acc)], row[j[1] + 1], row[j[1]] + CASE WHEN unicode(substr(b, j[1], 1)) = x[1] THEN 1 ELSE 0 END)), [CAST(0 AS BIGINT)]), list_transform(range(0, length(b) + 1), lambda z: CAST(0 AS BIGINT)))[length(b) + 1]"
 _PAIRS = f"SELECT a, b, {_LCS} AS n FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part) ON a < b"
 

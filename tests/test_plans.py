@@ -90,6 +90,16 @@ def test_containment_needs_whole_words(spark):
     assert sorted((r.id, r.term) for r in matching.contained(texts, "id", terms).collect()) == [(1, "wave"), (1, "wave function")]
 
 
+def test_cascade_falls_back_to_fuzzy(spark, sf_dir):
+    concepts = spark.createDataFrame([(1, "wave function"), (2, "wave functions"), (3, "derivative"), (4, "derivative"), (5, "matrix")], "concept_id long, text string")
+    wanted = spark.createDataFrame([("wave function",), ("the matrix",), ("derivatve",), ("zzz",)], "query string")
+    got = sorted((r.query, r.concept_id, float(r.similarity)) for r in matching.cascade(wanted, concepts).collect())
+    assert got == [("derivatve", 3, 0.947368), ("derivatve", 4, 0.947368), ("the matrix", 5, 0.95), ("wave function", 1, 1.0), ("wave function", 2, 0.95)]
+    names = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect()}
+    got = {r.query for r in plans.queries()["cascade_lookup_all_k1"](spark, sf_dir).collect()}
+    assert got == {q for n in names for q in (n, "the " + n, n[0] + n[2:])}
+
+
 def test_leader_clusters_follow_the_order(spark):
     order = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)], "name string, rank int")
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")], "a string, b string")
