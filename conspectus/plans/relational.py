@@ -57,6 +57,13 @@ def representation_lookup(spark, d):
     return c.join(wanted, F.trim(F.lower("text")) == F.trim(F.lower("wanted"))).select("concept_id", F.col("wanted").alias("text"))
 
 
+@query("representation_lookup_all_d3", M.with_sql("concepts", "SELECT a.concept_id, b.text FROM concepts a JOIN (SELECT DISTINCT text FROM concepts) b ON trim(lower(a.text)) = trim(lower(b.text))"))
+def representation_lookup_all(spark, d):
+    c = M.concepts(spark, d)
+    wanted = c.select(F.col("text").alias("wanted")).distinct()
+    return c.join(wanted, F.trim(F.lower("text")) == F.trim(F.lower("wanted"))).select("concept_id", F.col("wanted").alias("text"))
+
+
 @query("segment_counts_left_d5", M.with_sql("transcripts occ", "SELECT t.video_id, t.pos, count(o.concept_id) AS n FROM transcripts t LEFT JOIN occ o ON t.video_id = o.video_id AND t.pos = o.segment_pos GROUP BY t.video_id, t.pos"))
 def segment_counts(spark, d):
     return R.segment_counts(M.transcripts(spark, d), M.occurrences(spark, d))

@@ -274,6 +274,12 @@ def closure(spark, d):
     return graph.closure(M.prerequisites(spark, d), seeds)
 
 
+@query("closure_all_p1")
+def closure_all(spark, d):
+    seeds = M.table(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("node"))
+    return graph.closure(M.prerequisites(spark, d), seeds)
+
+
 @query("topological_levels_p3", "SELECT p_partkey AS node, CAST(length(bin(p_partkey)) - 1 AS INTEGER) AS level FROM part")
 def topological_levels(spark, d):
     return graph.levels(M.table(spark, d, "part").select(F.col("p_partkey").alias("node")), M.prerequisites(spark, d))

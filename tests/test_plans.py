@@ -134,6 +134,15 @@ def test_shortest_paths_have_no_depth_limit(spark, sf_dir):
     assert got == brute(steps, 1) and max(got.values()) > 8
 
 
+def test_lookup_and_closure_of_all_rows(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").collect()
+    got = sorted(map(tuple, plans.queries()["closure_all_p1"](spark, sf_dir).select("seed", "node").collect()))
+    assert got == sorted((k, k >> i) for k, _ in part for i in range(1, k.bit_length()))
+    names = {n for _, n in part}
+    got = sorted(map(tuple, plans.queries()["representation_lookup_all_d3"](spark, sf_dir).select("concept_id", "text").collect()))
+    assert got == sorted((k, m) for k, n in part for m in names if m.strip().lower() == n.strip().lower())
+
+
 def test_rate_limit_anchors_windows(spark):
     seconds = [0, 10, 20, 61, 62, 121, 122, 183]
     rows = [(1, i, float(s)) for i, s in enumerate(seconds)]
