@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts of 100 kB then make batches of 50 MB at most.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Text that a vectorised step works on at once.
 SLICE_BYTES = 2 << 20
 
@@ -29,8 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of every Python stage planned from now on."""
+    """Bound the Arrow batches of the session's Python stages, by rows and by bytes.
+
+    Spark reads these settings when a plan starts, so they hold for the session. A text
+    longer than the bound is a batch of its own.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def free(taken: list[str], name: str) -> str:
+    """``name``, or the first of its numbered forms that no column has."""
+    have = {c.lower() for c in taken}
+    return next(n for n in (f"{name}{i or ''}" for i in range(len(have) + 1)) if n.lower() not in have)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +64,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.count = spark, shared_dir(spark), 0
+        self.saved: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -61,15 +73,28 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a saved table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if root.split("/conspectus-")[0] != root:
-                path = jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.saved[id(saved)] = (saved, path)
+        return saved
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove saved tables that no later step reads."""
+        for df in tables:
+            _, path = self.saved.pop(id(df), (None, None))
+            if path is not None:
+                remove(self.spark, path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all saved tables but these, which a result still reads."""
+        kept = {id(t) for t in tables}
+        self.drop(*[df for key, (df, _) in list(self.saved.items()) if key not in kept])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):

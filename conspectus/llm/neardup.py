@@ -1,8 +1,9 @@
 """MinHash near-duplicate detection with fast similarity sketches, banding and exact verification.
 
 One Arrow pass turns every whole text into a key of its word sequence, its number
-of distinct shingles, a sketch and band hashes. Equal sequences form a class, and
-only classes take part from there on. Within a bucket (classes that agree in a
+of distinct shingles, a sketch and band hashes. Equal sequences form a class with a
+number of its own (ids may repeat or be missing), and only classes take part from
+there on. Within a bucket (classes that agree in a
 band) the class that meets most others leads. Each class is verified against the
 leader of one of its buckets, and then, round by round, one class of each component
 of a bucket against the leader of its largest: large groups are joined with about
@@ -21,11 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import common, sketches, text
-from .url_filter import Bloom
+from . import bloom, common, sketches, text
 
 SKETCH = 256
 #: Coordinates that bands are made of.
@@ -34,11 +36,12 @@ BANDED = 128
 CELL = 512
 #: Estimates so many standard deviations below the threshold are not verified.
 DEVIATIONS = 5
-#: Documents whose ids a broadcast Bloom filter may hold, at ten bits each; beyond it texts are joined with the ids.
-MAX_BLOOM = 20_000_000
 #: Rounds that join components by their leaders before the rest is compared in cells.
 ROUNDS = 3
 
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
+
 Sketcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -73,50 +76,35 @@ def profile(docs: DataFrame, words: int, rows: int, count: int, sketcher: Sketch
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key1 long, key2 long, n_shingles long, sketch binary, bands array<long>")
 
 
-def _bloom(ids: DataFrame) -> Bloom | None:
-    """A filter of long ids, its words combined on the executors; None where it would be too large."""
-    n = ids.count()
-    if n > MAX_BLOOM:
-        return None
-    empty = Bloom(np.zeros(-(-max(64, 10 * n) // 64), text.U), max(64, 10 * n), 7, 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = common.column(batch, "id").to_numpy().view(text.U)
-            at = np.concatenate(list(empty.places(own, text.mix(own, 6))))
-            word, bit = (at >> text.U(6)).astype(np.int64), (text.U(1) << (at & text.U(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit)], names=["word", "bits"])
-
-    words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    empty.words[words["word"].to_numpy()] = words["bits"].to_numpy().view(text.U)
-    return empty
+def _named(ids: pa.Array) -> np.ndarray:
+    return pc.fill_null(ids, NO_ID).to_numpy()
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and hashed shingles, ascending, of at least the documents with one of the ids (column id).
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """rep and hashed shingles, ascending, of the wanted classes (rep, doc_id of one of its rows, key1, key2).
 
-    A Bloom filter of the ids goes to the texts, so no text is shuffled; the one in a
-    hundred other documents that it lets pass are sets that nothing asks for.
+    A Bloom filter of the ids goes to the texts, so no other text leaves its task; the few
+    other documents that it lets pass are dropped by the join on the keys.
     """
-    common.small_batches(docs.sparkSession)
-    bloom = _bloom(ids)
-    sent = docs.sparkSession.sparkContext.broadcast(bloom)
-    wanted = docs.select("doc_id", "text").filter("doc_id is not null")
-    if bloom is None:
-        wanted = wanted.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    sent = spark.sparkContext.broadcast(bloom.of_column(wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = sent.value
+        filter_ = sent.value
         for batch in batches:
-            if bloom is not None:
-                own = common.column(batch, "doc_id").to_numpy().view(text.U)
-                batch = batch.filter(pa.array(bloom.has(own, text.mix(own, 6))))
+            batch = batch.filter(pa.array(filter_.has_key(_named(common.column(batch, "doc_id")).view(text.U))))
             for part in common.slices(batch):
                 hashes, row, _, _ = text.words(common.column(part, "text"))
+                keys = [pa.array(k.view(np.int64)) for k in text.sequence_keys(hashes, row, part.num_rows)]
                 sets, bounds = text.shingles(hashes, row, part.num_rows, words)
-                yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), common.list_array(sets.view(np.int64), bounds, pa.int64())], names=["doc_id", "shingles"])
+                ids = pa.array(_named(common.column(part, "doc_id")))
+                yield pa.RecordBatch.from_arrays([ids, *keys, common.list_array(sets.view(np.int64), bounds, pa.int64())], names=["id", "key1", "key2", "shingles"])
 
-    return wanted.mapInArrow(run, "doc_id long, shingles array<long>")
+    found = docs.select("doc_id", "text").mapInArrow(run, "id long, key1 long, key2 long, shingles array<long>")
+    own = wanted.select("rep", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key1", "key2")
+    # rows that repeat id and text give their class's set more than once
+    return found.join(own, ["id", "key1", "key2"]).select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
@@ -147,8 +135,8 @@ def components(edges: DataFrame, work: common.Workspace) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = left.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     common_ = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common_
     return both.filter(100 * common_ >= percent * union).select("a", "b")
@@ -232,7 +220,7 @@ def _cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
     asked = dealt.mapInArrow(propose, "cell long, rep long, comp long, partners array<long>")
-    full = asked.join(sets.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "rep")
+    full = asked.join(sets, "rep")
     return full.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -255,15 +243,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher = _fss) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def linked(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher = _fss) -> DataFrame:
+    """One row per document: doc_id, key1, key2, n_shingles and root, the number of its component.
 
-    Links documents whose sets of ``words``-word shingles have 100 * |A n B| >=
-    percent * |A u B|. A null or empty text has no shingle and is linked with
-    nothing; fewer words than a shingle count as one shingle. Copies share their
-    component. Documents without an id take part only through equal texts and are
-    kept where no document with an id equals them. Repeated rows stay repeated.
-    Other columns, whatever their names, are left out.
+    key1 and key2 are equal for equal word sequences. root is null for a document without
+    words, which is linked with nothing.
     """
     spark = docs.sparkSession
     work = common.Workspace(spark)
@@ -271,18 +255,23 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher
     profiled = work.save(profile(docs, words, rows, count, sketcher), "profiles")
     keys = ["key1", "key2"]
     filled = profiled.filter("n_shingles > 0")
-    classes = work.save(filled.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
-    named = classes.filter("rep is not null")
-    exploded = named.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    # numbers are stored with the classes, so that all later steps see the same
+    grouped = filled.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = work.save(grouped.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
+    exploded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     multi = work.save(exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = work.save(exploded.join(multi, "bucket"), "members")
-    weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = work.save(members.join(weight, "rep"), "weighed")
+    plain = work.save(exploded.join(multi, "bucket"), "members")
+    weight = plain.groupBy("rep").agg(F.sum("n").alias("weight"))
+    members = work.save(plain.join(weight, "rep"), "weighed")
+    work.drop(multi, plain)
     leaders = work.save(members.groupBy("bucket").agg(F.max(F.struct("weight", "rep")).alias("leader")), "leaders")
     led = members.join(leaders, "bucket").groupBy("rep").agg(F.max("leader")["rep"].alias("leader")).filter("rep <> leader")
     star = work.save(led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "star")
-    sketch = named.select("rep", F.col("n_shingles").alias("size"), "sketch", "bands")
-    sets = work.save(shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), words), "sets")
+    work.drop(leaders)
+    sketch = classes.select("rep", F.col("n_shingles").alias("size"), "sketch", "bands")
+    wanted = work.save(classes.select("rep", "doc_id", *keys).join(members.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    sets = work.save(shingle_sets(docs, wanted, words), "sets")
+    work.drop(wanted)
     roots = components(_verified(star, sets, percent), work)
     tried = star
     for _ in range(ROUNDS):
@@ -291,9 +280,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher
         tops = work.save(placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max(F.struct("weight", "rep")).alias("top")), "tops")
         mains = tops.groupBy("bucket").agg(F.max(F.struct("c", "top.weight", "top.rep", "comp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps"))
         apart = work.save(mains.filter("comps > 1").select("bucket", F.col("main.comp").alias("main"), F.col("main.rep").alias("leader"), "n", (F.col("n") - F.col("main.c")).alias("strays")), "apart")
-        tops = tops.join(apart.select("bucket", "main", "leader"), "bucket").filter("comp <> main").select(F.least("top.rep", "leader").alias("a"), F.greatest("top.rep", "leader").alias("b"))
-        fresh = work.save(tops.distinct().join(tried, ["a", "b"], "left_anti"), "leader-pairs")
+        proposed = tops.join(apart.select("bucket", "main", "leader"), "bucket").filter("comp <> main").select(F.least("top.rep", "leader").alias("a"), F.greatest("top.rep", "leader").alias("b"))
+        fresh = work.save(proposed.distinct().join(tried, ["a", "b"], "left_anti"), "leader-pairs")
         more = work.save(_verified(fresh, sets, percent), "leader-edges")
+        work.drop(tops)
         if more.isEmpty():
             break
         tried = tried.unionByName(fresh)
@@ -305,23 +295,78 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher
     final = roots
     if not extra.isEmpty():
         final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(extra), work)
-    names = classes.select(*keys, "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("component_id"))
-    names = work.save(names, "components")
-    out = profiled.select("doc_id", *keys, "n_shingles").join(names, keys, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    named = classes.select(*keys, "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    named = work.save(named.select(*keys, F.coalesce("root", "rep").alias("root")), "components")
+    work.keep(profiled, named)
+    return profiled.select("doc_id", *keys, "n_shingles").join(named, keys, "left")
+
+
+def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher = _fss) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Links documents whose sets of ``words``-word shingles have 100 * |A n B| >=
+    percent * |A u B|. A null or empty text has no shingle and is linked with
+    nothing; fewer words than a shingle count as one shingle. component_id is the
+    smallest doc_id of the component. Documents without an id take part like others:
+    they are kept where their component has no id at all. Different texts under one
+    id are different documents, and repeated rows stay repeated; all rows of the
+    smallest id are marked as kept (keep_one() keeps one of them). Long texts are
+    taken whole. An empty table gives an empty table. Other columns, whatever their
+    names, are left out.
+    """
+    found = linked(docs, words, percent, sketcher)
+    # root numbers are unique, so the few components that hold many documents combine before their shuffle
+    least = found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = found.join(least, "root", "left")
+    component = F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: one of each group of near copies, with all columns.
+    """The documents that stay: one row of each component of near copies, with all columns.
 
-    Rows that repeat a kept doc_id go too; documents without an id stay.
+    The row with the smallest id stays (a missing id comes last); of several that with the
+    least hash of its words, then of its text, then of its other columns. Null and empty
+    texts have no near copies and all stay, in every row. An empty table gives an empty
+    table. A Bloom filter tells apart the rows that surely have no near copy: they stay
+    where they are, and only the others are shuffled to meet their component's decision.
     """
-    marks = link(docs, words, percent)
-    ids = marks.filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    spark = docs.sparkSession
+    work = common.Workspace(spark)
+    found = linked(docs, words, percent).filter("root is not null").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "id", "key1", "key2")
+    many = found.groupBy("root").agg(F.count("*").alias("n"), F.min(row).alias("best")).filter("n > 1").select("root", "best")
+    once = found.groupBy("root", "doc_id", "id", "key1", "key2").agg(F.count("*").alias("n"))
+    decided = work.save(once.join(many, "root").select("id", "key1", "key2", (row == F.col("best")).alias("wins")), "decided")
+    sent = spark.sparkContext.broadcast(bloom.of_column(decided.select("id").distinct(), "id"))
+    common.small_batches(spark)
+    key1, key2, wins, place = (common.free(docs.columns, f"__{c}") for c in ("key1", "key2", "wins", "place"))
+
+    def split(batch: pa.RecordBatch, touched: bool) -> pa.RecordBatch:
+        hit = sent.value.has_key(_named(common.column(batch, "doc_id")).view(text.U))
+        return batch.filter(pa.array(hit == touched))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield split(batch, False)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(split(batch, True)):
+                hashes, rows, _, _ = text.words(common.column(part, "text"))
+                keys = [pa.array(k.view(np.int64)) for k in text.sequence_keys(hashes, rows, part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *keys], names=[*part.schema.names, key1, key2])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(key1, T.LongType()), T.StructField(key2, T.LongType())])
+    rest = docs.mapInArrow(touched, schema)
+    verdict = decided.select(F.col("id").alias(place), F.col("key1").alias(key1), F.col("key2").alias(key2), F.col("wins").alias(wins))
+    rest = rest.withColumn(place, F.coalesce("doc_id", F.lit(NO_ID))).join(verdict, [place, key1, key2], "left").filter(F.coalesce(wins, F.lit(True)))
+    # rows of one id and word sequence: the first stays of those that a decision names
+    first = Window.partitionBy(place, key1, key2, wins).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    number = common.free([*docs.columns, place, key1, key2, wins], "__n")
+    rest = rest.withColumn(number, F.row_number().over(first)).filter(F.col(wins).isNull() | (F.col(number) == 1))
+    return docs.mapInArrow(untouched, docs.schema).unionByName(rest.select(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

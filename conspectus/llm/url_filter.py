@@ -13,8 +13,7 @@ as many as the listed keys: what is broadcast follows the list, not the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import ceil, log, log2, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,42 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .text import U, mix
+from .bloom import Bloom, bloom
+from .text import U
 
-#: Listed keys that are broadcast as a cascade; a longer list is joined instead.
-MAX_LISTED = 5_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@dataclass
-class Bloom:
-    words: np.ndarray
-    bits: int
-    probes: int
-    level: int
-
-    def places(self, one: np.ndarray, two: np.ndarray) -> Iterator[np.ndarray]:
-        step = mix(two, self.level) | U(1)
-        at = mix(one, self.level)
-        for _ in range(self.probes):
-            yield at % U(self.bits)
-            at = at + step
-
-    def has(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        out = np.ones(len(one), bool)
-        for at in self.places(one, two):
-            out &= (self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
-        return out
-
-
-def bloom(one: np.ndarray, two: np.ndarray, error: float, level: int) -> Bloom:
-    bits = max(64, ceil(len(one) * log(1 / error) / log(2) ** 2))
-    made = Bloom(np.zeros(-(-bits // 64), U), bits, max(1, round(log2(1 / error))), level)
-    for at in made.places(one, two):
-        np.bitwise_or.at(made.words, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
-    return made
-
-
 def member(levels: list[Bloom], one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Exact membership for keys of the universe the levels were made for."""
     out = np.full(len(one), len(levels) % 2 == 1)
@@ -116,7 +85,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     longest rule wins, of equally long ones the greater text. Without a fitting rule,
     ``rule`` is null and the verdict is ``default``. A null URL, or one without "://",
     has an empty host and path. Rows that repeat are judged one by one, an empty table
-    gives an empty table, other columns are left out.
+    gives an empty table, other columns are left out. What is broadcast is a few bytes
+    for each rule, and so smaller than the list that the caller holds.
     """
     spark = pages.sparkSession
     final = {h.translate(str.maketrans(UPPER, LOWER)) + p: v for h, p, v in rules}
@@ -126,14 +96,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     split = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     keyed = split.withColumn("keys", url_keys(F.col("host"), F.col("path"), labels, lengths))
     longest = lambda some: F.array_max(F.transform(some, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    if len(final) > MAX_LISTED:
-        listed = spark.createDataFrame(list(final.items()), "rule string, said string")
-        numbered = keyed.withColumn("row", F.monotonically_increasing_id())
-        exploded = numbered.select("row", F.explode("keys").alias("rule")).join(listed, "rule")
-        best = exploded.groupBy("row").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "said")).alias("best"))
-        out = numbered.join(best, "row", "left")
-        return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit(default)).alias("verdict"))
-
     names = spark.createDataFrame([(k, v) for k, v in final.items()], "key string, said string") if final else spark.createDataFrame([], "key string, said string")
     one, two = hashed(F.array("key"))
     listed = names.select(one[0].alias("one"), two[0].alias("two"), "said").collect()

@@ -15,8 +15,8 @@ def brute_set(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(rows, k, percent):
-    """doc_id -> (n_shingles, component_id), every pair compared."""
+def brute_rows(rows, k, percent):
+    """(doc_id, n_shingles, component_id, kept) of each row, every pair compared; ids may repeat or be missing."""
     sets = [brute_set(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -33,8 +33,17 @@ def brute(rows, k, percent):
                     root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(d, least.get(find(i), d))
-    return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    out = []
+    for i, (d, _) in enumerate(rows):
+        c = least.get(find(i)) if sets[i] else d
+        out.append((d, len(sets[i]), c, d == c))
+    return out
+
+
+def brute(rows, k, percent):
+    return {d: (n, c) for d, n, c, _ in brute_rows(rows, k, percent)}
 
 
 def test_words_and_shingles_agree_with_python():
@@ -110,7 +119,7 @@ def test_empty_table_nulls_and_repeats(spark):
         [("4", "4", True), ("4", "4", True), ("None", "4", False), ("None", "None", True), ("7", "4", False), ("8", "8", True)]
     )
     kept = neardup.keep_one(spark.createDataFrame(rows, schema)).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["4", "8", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept) == ["4", "8", "None"]  # the copy without an id goes
 
 
 def test_components_of_long_chains(spark):
@@ -118,3 +127,55 @@ def test_components_of_long_chains(spark):
     got = neardup.components(spark.createDataFrame(edges, "a long, b long"), common.Workspace(spark))
     root = {r.node: r.root for r in got.collect()}
     assert all(root[i] == 1 for i in range(2, 61)) and root[101] == root[102] == 100 and root[500] == 499
+
+
+def odd_rows():
+    """Repeated and missing ids over unrelated texts, repeated rows, ties, empty and null texts, one long text."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i) % 40 if i % 7 else None, t) for i, (_, t) in enumerate(fixture_rows())]
+    long_text = " ".join(f"w{rng.integers(90000)}" for _ in range(60000))
+    return [*rows, (5, long_text), (6, long_text + " tail"), (5, "alone here 1 2 3"), (5, "alone here 1 2 3"), (5, ""), (None, None)]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_repeated_and_missing_ids_agree_with_brute_force(spark, k, percent):
+    rows = odd_rows()
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_rows(rows, k, percent), key=str)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Unrelated texts under one id are different documents; of every component one row stays, whichever ids it has."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.keep_one(docs).collect())) == [(5, a), (5, b)]
+    rows = [(d, t, n % 3) for n, (d, t) in enumerate(odd_rows())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key1 int")
+    kept = neardup.keep_one(docs, 5, 80).collect()
+    marks = brute_rows([(i, t) for i, (_, t, _) in enumerate(rows)], 5, 80)  # components of rows, under distinct ids
+    groups = {c for _, n, c, _ in marks if n}
+    blank = sum(1 for _, n, _, _ in marks if not n)
+    assert len(kept) == len(groups) + blank
+    of_text = {}
+    for (_, n, c, _), (_, t, _) in zip(marks, rows, strict=True):
+        if n:
+            of_text[t] = c
+    assert {of_text[r.text] for r in kept if r.text in of_text} == groups
+    again = neardup.keep_one(docs.orderBy("text"), 5, 80).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
+def test_recall_on_the_test_documents(spark):
+    """Every pair that brute force finds for the ids divisible by 50, against all documents, is in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for k, percent in ((3, 85), (5, 80)):
+        of = {r.doc_id: r.component_id for r in neardup.link(docs, k, percent).collect()}
+        sets = {d: brute_set(t, k) for d, t in rows}
+        for d in (d for d, _ in rows if d % 50 == 0):
+            for e, other in sets.items():
+                if e != d and sets[d] and other and 100 * len(sets[d] & other) >= percent * len(sets[d] | other):
+                    assert of[d] == of[e]
+        strays = [c for c in of.values() if of[c] != c]
+        assert not strays
