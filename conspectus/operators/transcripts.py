@@ -29,7 +29,12 @@ def full_text(segments: DataFrame) -> DataFrame:
 
 def sentences(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Sentences with the segment's time shared out by characters."""
-    split = segments.filter(F.trim("text") != "").select(*keys, "start", "duration", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("n", "sentence"))
+    return timed(segments, keys, F.split("text", r"(?<=[.!?])\s+"))
+
+
+def timed(segments: DataFrame, keys: list[str], parts: Column) -> DataFrame:
+    """keys, n, sentence, begin and finish for the parts of each segment that has text."""
+    split = segments.filter(F.trim("text") != "").select(*keys, "start", "duration", F.posexplode(parts).alias("n", "sentence"))
     split = split.filter(F.trim("sentence") != "").withColumn("size", F.length("sentence"))
     w = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("size").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

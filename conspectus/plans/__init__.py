@@ -1,8 +1,8 @@
 """Registered queries of the concept index, and the same queries in SQL."""
 
-from . import relational, textual
+from . import language, relational, textual
 
-MODULES = (relational, textual)
+MODULES = (relational, textual, language)
 
 
 def queries() -> dict:

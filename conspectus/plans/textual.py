@@ -57,21 +57,11 @@ def norm_basic(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.normalise(F.col("text"))).alias("h"))
 
 
-@query("norm_catalogue_h2", r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '^the ', ''), '^a ', ''), '^an ', ''), '^this ', ''), '^that ', ''), '-', ' ')) AS h FROM documents")
-def norm_catalogue(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(T.normalise_catalogue(F.col("text"))).alias("h"))
-
-
 @query("norm_transcript_h7", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\s+', ' ', 'g'), ' i ', ' I '), '([\p{L}\p{N}_])\.([\p{L}\p{N}_])', '\1. \2', 'g'), '\[[^\]]*\]:?', '', 'g'), '\.{3,}', '...', 'g'), '\s+([,.])', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents")
 def norm_transcript(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.normalise_transcript(F.col("text"))).alias("h"))
 
 
-@query("script_detect_h12", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[а-яА-ЯёЁ]')) > len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]')) THEN 'Cyrillic' ELSE 'Latin' END AS script FROM documents")
-def script_detect(spark, d):
-    return docs(spark, d).select("doc_id", T.script(F.col("text")).alias("script"))
-
-
 @query("language_detect_h10", "SELECT doc_id, CASE WHEN cyr > 0.5 * (lat + cyr) AND cyr > 0 THEN 'ru' ELSE 'en' END AS language FROM (SELECT doc_id, len(regexp_extract_all(left(text, 2000), '[a-zA-Z]')) AS lat, len(regexp_extract_all(left(text, 2000), '[а-яА-ЯёЁ]')) AS cyr FROM documents)")
 def language_detect(spark, d):
     return docs(spark, d).select("doc_id", T.language(F.col("text")).alias("language"))
@@ -82,14 +72,6 @@ def substring_count(spark, d):
     return docs(spark, d).select("doc_id", T.count_of(F.lower("text"), "tion").alias("n"))
 
 
-_DOM = {k: count_sql("lower(text)", v) for k, v in L.TEST_DOMAINS.items()}
-
-
-@query("keyword_domain_h14", "SELECT doc_id, CASE WHEN greatest(m, p, f) = 0 THEN 'unknown' WHEN m = greatest(m, p, f) THEN 'mathematics' WHEN p = greatest(m, p, f) THEN 'programming' ELSE 'physics' END AS domain FROM (SELECT doc_id, " + f"{_DOM['mathematics']} AS m, {_DOM['programming']} AS p, {_DOM['physics']} AS f FROM documents)")
-def keyword_domain(spark, d):
-    return docs(spark, d).select("doc_id", T.keyword_domain(F.col("text"), L.TEST_DOMAINS).alias("domain"))
-
-
 _RATIO = "SELECT doc_id, CASE WHEN t + p = 0 THEN 0.5 ELSE 1 / (1 + 2.5 * pow(2.71828, -5 * (t / (t + p) - 0.5))) END AS r FROM (SELECT doc_id, CAST(" + count_sql("lower(text)", L.TEST_MARKERS[:3]) + " AS DOUBLE) AS t, CAST(" + count_sql("lower(text)", L.TEST_MARKERS[3:]) + " AS DOUBLE) AS p FROM documents)"
 
 
@@ -160,23 +142,6 @@ def educational_value(spark, d):
     return c.select("conv_id", "turn", F.round(T.educational_value(F.col("text"), L.TEST_MARKERS), 6).alias("value"))
 
 
-@query("candidate_valid_c8", r"SELECT doc_id, length(text) >= 3 AND NOT regexp_full_match(text, '[0-9]+') AND " + WORDS_SQL.format(c="text") + r" <= 5 AND len(list_filter(string_split(lower(trim(text)), ' '), lambda w: NOT list_contains(['the', 'of', 'and', 'in'], w))) > 0 AS valid FROM documents")
-def candidate_valid(spark, d):
-    t = F.col("text")
-    stop = F.array(*[F.lit(w) for w in ("the", "of", "and", "in")])
-    real = F.size(F.filter(F.split(F.lower(F.trim(t)), " "), lambda w: ~F.array_contains(stop, w))) > 0
-    valid = (F.length(t) >= 3) & ~t.rlike(r"^[0-9]+\z") & (F.size(T.words(t)) <= 5) & real
-    return docs(spark, d).select("doc_id", valid.alias("valid"))
-
-
-@query("domain_compat_c10", M.with_sql("concepts", "SELECT a.d AS one, b.d AS two, a.d = b.d OR least(a.d, b.d) = 'ECONOMY' AS fits FROM (SELECT DISTINCT split_part(domain, ' ', 1) AS d FROM concepts) a JOIN (SELECT DISTINCT split_part(domain, ' ', 1) AS d FROM concepts) b ON true"))
-def domain_compat(spark, d):
-    # the domains are a handful of names, whatever the catalogue's size
-    one = M.concepts(spark, d).select(F.split_part("domain", F.lit(" "), F.lit(1)).alias("one")).distinct()
-    pairs = one.select("one", F.lit(1).alias("k")).join(one.select(F.col("one").alias("two"), F.lit(1).alias("k")), "k")
-    return pairs.select("one", "two", ((F.col("one") == F.col("two")) | (F.least("one", "two") == "ECONOMY")).alias("fits"))
-
-
 @query("stem_j3", r"SELECT term, regexp_replace(CASE WHEN length(term) > 3 AND term LIKE '%s' AND term NOT LIKE '%ss' THEN left(term, length(term) - 1) WHEN length(term) > 4 AND term LIKE '%ing' THEN left(term, length(term) - 3) WHEN length(term) > 4 AND term LIKE '%ed' THEN left(term, length(term) - 2) ELSE term END, '[^\p{L}\p{N}-]', '', 'g') AS stem FROM (SELECT DISTINCT term FROM " + _TERMS + ")")
 def stem(spark, d):
     found = transcripts.terms(docs(spark, d), ["doc_id"]).select("term").distinct()
