@@ -19,14 +19,18 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
+#: Tasks that read archives back at most; each takes one bundle after another.
+READ_TASKS = 20_000
 #: Equal payloads from this size on are stored once.
 LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -126,7 +130,7 @@ class BundleReader:
     """Frames of a bundle by number, with the seek table read first."""
 
     def __init__(self, uri: str):
-        self.file = _open(uri, "rb")
+        self.uri, self.file = uri, _open(uri, "rb")
         self.file.seek(0, 2)
         end = self.file.tell()
         self.file.seek(end - 9)
@@ -182,31 +186,45 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read(index: DataFrame) -> DataFrame:
-    """All records of the index's bundles, from the files: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Every record of the index, fetched through its entry: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Payloads of responses are hashed again and have to agree with their headers.
+    Entries are dealt by bundle and sorted by place, so a task decodes each frame that it
+    needs once. A record has to name the entry's page, and a response's payload to agree
+    with the digest in its header.
     """
+    spark = index.sparkSession
+    common.small_batches(spark)
+    tasks = index.select(F.approx_count_distinct("bundle")).first()[0]
+    tasks = min(READ_TASKS, max(1, tasks, spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, frame, data = None, None, b""
         for batch in batches:
-            for uri in common.column(batch, "bundle").to_pylist():
-                reader = BundleReader(uri)
-                for k in range(len(reader.frames)):
-                    data, at, rows = reader.frame(k), 0, []
-                    while at < len(data):
-                        head, http, payload, at = parse(data, at)
-                        sha1 = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        size = int(http["Content-Length"])
-                        if head["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != sha1):
-                            raise ValueError(f"a record of {uri} doesn't agree with its digest")
-                        ids = [int(head[c]) if c in head else None for c in ("Page-Id", "Refers-To-Page-Id")]
-                        rows.append((ids[0], size, sha1, head["WARC-Type"], ids[1]))
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                reader.close()
-
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            rows = []
+            for page_id, uri, k, at, length in zip(*(common.column(batch, c).to_pylist() for c in ("page_id", "bundle", "frame", "offset", "length")), strict=True):
+                if reader is None or reader.uri != uri:
+                    if reader is not None:
+                        reader.close()
+                    reader, frame = BundleReader(uri), None
+                if frame != k:
+                    frame, data = k, reader.frame(k)
+                head, http, payload, end = parse(data, at)
+                sha1 = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                size = int(http["Content-Length"])
+                own, refers_to = (int(head[c]) if c in head else None for c in ("Page-Id", "Refers-To-Page-Id"))
+                if own != page_id or end - at != length:
+                    raise ValueError(f"the index doesn't fit {uri}, frame {k}, offset {at}")
+                if head["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != sha1):
+                    raise ValueError(f"a record of {uri} doesn't agree with its digest")
+                rows.append((own, size, sha1, head["WARC-Type"], refers_to))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if reader is not None:
+            reader.close()
+
+    dealt = index.repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def fetch(index: DataFrame, page_ids: list[int]) -> dict[int, bytes]:
@@ -220,23 +238,41 @@ def fetch(index: DataFrame, page_ids: list[int]) -> dict[int, bytes]:
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write all pages as records; returns the stored index and the records read back.
+    """Write all pages as records; returns the stored index and the records read back through it.
 
-    The payload is the html in UTF-8 (null: empty). Of records with equal payloads of at
-    least ``LEAST_REVISIT`` bytes those with the greatest page_id are responses (all of
-    them, if rows repeat), the others revisit it; without any id among them, all are
-    responses, as are records without an id. A hot payload's rows meet its one row of
-    counts in a shuffle join that adaptive execution splits.
+    The payload is the html in UTF-8 (null or empty: no bytes), whole at any length. Of
+    records with equal payloads of at least ``LEAST_REVISIT`` bytes those with the greatest
+    page_id are responses (all of them, if rows repeat), the others revisit it; without any
+    id among them, all are responses, as are records without an id. An empty table gives an
+    empty index and no record; columns other than page_id, url and html are left out.
+
+    A Bloom filter of the digests that repeat goes to the rows. Payloads that it rules out
+    are written where they are; only the others are shuffled to meet their digest's row, in
+    a join that adaptive execution splits where one payload is hot.
     """
     spark = pages.sparkSession
     work = common.Workspace(spark)
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", html.cast("binary").alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
-    repeated = base.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1")
-    repeated = work.save(repeated.select("payload_digest", "response_id"), "repeated")
-    joined = base.join(repeated, "payload_digest", "left")
+    repeated = base.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1 and response_id is not null")
+    repeated = work.save(repeated.select("payload_digest", "response_id", _digest_key("payload_digest").alias("key")), "repeated")
+    sent = spark.sparkContext.broadcast(bloom.of_column(repeated, "key"))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(key: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.has_key(key.to_numpy(np.int64).view(np.uint64)))
+
+    hit = (F.col("payload_bytes") >= LEAST_REVISIT) & may_repeat(_digest_key("payload_digest"))
+    flagged = base.withColumn("hit", hit)
+    alone = flagged.filter(~F.col("hit")).drop("hit").withColumn("refers_to", F.lit(None).cast("long"))
+    joined = flagged.filter("hit").drop("hit").join(repeated.drop("key"), "payload_digest", "left")
     refers = F.when(F.col("page_id").isNotNull() & (F.col("page_id") != F.col("response_id")), F.col("response_id"))
-    rows = joined.withColumn("refers_to", refers)
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    shared = joined.withColumn("refers_to", refers).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    rows = alone.unionByName(shared.select(alone.columns))
     index = work.save(write(rows, work.path("bundles")), "index")
+    work.drop(repeated)
     return index, read(index)
+
+
+def _digest_key(digest: str) -> Column:
+    return F.xxhash64(digest)
