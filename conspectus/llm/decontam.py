@@ -37,6 +37,8 @@ LEAST_WORDS, LEAST_SHARE = 13, 0.8
 #: ... where every replaced word uses up this many equal ones.
 COST = round(LEAST_SHARE / (1 - LEAST_SHARE))
 CHUNK_WORDS = 1_000_000
+#: Hits that are laid out at once; a window that many items share takes several slices.
+HITS = 1 << 20
 
 
 @dataclass
@@ -105,29 +107,36 @@ def overlaps(words: np.ndarray, rows: np.ndarray, n_rows: int, found: Seeds) ->
         return
     begin = np.searchsorted(rows, np.arange(n_rows + 1))
     low = U(len(found.table) - 1)
-    triples = []
+    hits = []  # window's word, first seed and number of seeds
     for k, mask in enumerate((*MASKS, SHORT_MASK) if found.short else MASKS):
         h, at = windows(words, rows, mask, k)
         some = np.flatnonzero(found.table[(h & low).astype(np.int64)])
         h, at = h[some], at[some]
         a, b = np.searchsorted(found.hashes, h, "left"), np.searchsorted(found.hashes, h, "right")
         hit = np.flatnonzero(b > a)
-        if not len(hit):
-            continue
-        size = (b - a)[hit]
-        ends = np.cumsum(size)
-        post = np.arange(ends[-1]) + np.repeat(a[hit] - (ends - size), size)
-        word = np.repeat(at[hit], size)
-        triples.append(np.stack([rows[word], found.item[post], word - begin[rows[word]] - found.place[post]]))
-    if not triples:
-        return
-    for row, item, shift in np.unique(np.concatenate(triples, axis=1), axis=1).T.tolist():
-        own = found.words[found.bounds[item] : found.bounds[item + 1]]
-        first, last = max(0, -shift), min(len(own), begin[row + 1] - begin[row] - shift)
-        base = begin[row] + shift
-        same = stretch(own[first:last] == words[base + first : base + last])
-        if same >= min(LEAST_WORDS, LEAST_SHARE * len(own)):
-            yield row, item, same / len(own)
+        hits.append(np.stack([at[hit], a[hit], (b - a)[hit]]))
+    word, first, size = np.concatenate(hits, axis=1)
+    order = np.argsort(word, kind="stable")  # so that a document's hits come together
+    word, first, size = word[order], first[order], size[order]
+    ends = np.cumsum(size)
+    last, total = (-1, -1, 0), int(ends[-1]) if len(ends) else 0
+    for start in range(0, total, HITS):
+        stop = min(total, start + HITS)
+        place = np.arange(start, stop)
+        of = np.searchsorted(ends, place, side="right")
+        post = first[of] + place - (ends[of] - size[of])
+        row = rows[word[of]]
+        triples = np.unique(np.stack([row, found.item[post], word[of] - begin[row] - found.place[post]]), axis=1)
+        for row, item, shift in triples.T.tolist():
+            if (row, item, shift) == last:
+                continue
+            last = (row, item, shift)
+            own = found.words[found.bounds[item] : found.bounds[item + 1]]
+            head, tail = max(0, -shift), min(len(own), begin[row + 1] - begin[row] - shift)
+            base = begin[row] + shift
+            same = stretch(own[head:tail] == words[base + head : base + tail])
+            if same >= min(LEAST_WORDS, LEAST_SHARE * len(own)):
+                yield row, item, same / len(own)
 
 
 def _chunks(benchmark: DataFrame) -> int:
@@ -147,7 +156,8 @@ def inspect(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best_match is the largest share of an item's words that stand in one stretch of the
     document that is evidence. Null and empty texts match nothing; items shorter than a seed (six words)
     are no evidence; an item without an id is named -1. Repeated rows are inspected one
-    by one, an empty table gives an empty table, other columns are left out.
+    by one, long texts whole; an empty table gives an empty table, an empty benchmark finds
+    nothing, other columns are left out.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -181,7 +191,10 @@ def inspect(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a verified overlap, row by row, with all columns and no shuffle."""
+    """The documents without a verified overlap, row by row, with all columns and no shuffle.
+
+    Null and empty texts stay, as does everything where the benchmark is empty.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     n = _chunks(benchmark)

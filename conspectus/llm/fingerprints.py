@@ -23,8 +23,8 @@ from .text import U
 
 PERMUTATIONS = 128
 WORDS = 5
-#: Documents of one range of the ordered exchange, about.
-RANGE_ROWS = 4000
+#: Bytes of text in one range of the ordered exchange, about, and how many ranges there are at most.
+RANGE_BYTES, MOST_RANGES = 24 << 20, 10_000
 _LOW = -(1 << 63)
 
 
@@ -65,10 +65,14 @@ def _cut(current: str, following: str) -> str:
 
 
 def _ranges(docs: DataFrame) -> tuple[list[int], dict[int, int]]:
-    """Ascending splitters of doc_id into ranges of near-equal rows, and the highest id of each range that has rows."""
+    """Ascending splitters of doc_id into ranges of near-equal rows, and the highest id of each range that has rows.
+
+    There are as many ranges as the texts' bytes ask for, but no more than MOST_RANGES:
+    larger ranges sort on disk.
+    """
+    sized = docs.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).first()
     ids = docs.select(F.coalesce("doc_id", F.lit(_LOW)).alias("id"))
-    many = ids.count()
-    parts = max(1, -(-many // RANGE_ROWS))
+    many, parts = sized["n"], min(MOST_RANGES, max(1, -(-(sized["bytes"] or 0) // RANGE_BYTES)))
     if parts > 1:
         cuts = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
         cuts = sorted(set(cuts))
@@ -127,7 +131,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     many, or all, first ones of the next document by descending doc_id; the first
     follows the last. Of documents with one id the next is that with the lesser text;
     a missing id is the lowest; a null text is empty. A document alone in its table
-    follows itself. Repeated rows stay, other columns are left out.
+    follows itself. Repeated rows stay, long texts are taken whole, an empty table gives
+    an empty table, other columns are left out, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +166,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """Documents joined by signature bands and verified on full sets: see neardup.link()."""
+    """Documents joined by signature bands and verified on full sets: see neardup.link() for the result and odd inputs.
+
+    The contract of the query ``op7`` asks for fingerprints and likenesses alone, so this
+    join is not on its path.
+    """
     a, b = parameters(neardup.SKETCH)
     return neardup.link(docs, words, percent, lambda sets, bounds: sketches.permutation_sketch(sets, bounds, a, b))

@@ -128,6 +128,11 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of all documents, learned from those not held out."""
+    """doc_id, held_out, lang_pred and score of all documents, learned from those not held out.
+
+    Null texts, and those without a letter, are "und". Documents without an id are judged,
+    but nothing is learned from them; repeated rows count and are judged one by one. Long
+    texts are taken whole. An empty table gives an empty table; other columns are left out.
+    """
     model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -26,6 +26,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs at a time, on average.
 BLOCK_PIECES = 3000
+#: The search of a block ends after so many bins that no exchange improves, and after so many
+#: exchanges. Every piece is placed before it starts, so these bound time and lose nothing.
+FAILURES, EXCHANGES = 8, 4000
 #: A bin that lacks more than this share of the capacity is packed again.
 OPEN_SHARE = 0.002
 
@@ -33,7 +36,8 @@ OPEN_SHARE = 0.002
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length and ids (unsigned 32-bit little-endian bytes).
 
-    A null or empty text gives one piece with the end id alone; repeated rows give
+    vocabulary: a file's path, or the name of a public tokenizer that each worker looks up
+    itself. Long texts are taken whole, and cut after tokenising. A null or empty text gives one piece with the end id alone; repeated rows give
     repeated pieces; other columns are left out.
     """
     common.small_batches(docs.sparkSession)
@@ -111,38 +115,46 @@ class Bins:
             if len(fits):
                 self.swap([i], [], low, int(fits[np.argmin(gap[fits])]))
                 return True
+        # all sums of one or two own items; a bin's distinct sizes add up to its fill, so they are few
         size, room = self.sizes[others], gap[self.bin[others]]
-        distinct = mine[np.unique(-self.sizes[mine], return_index=True)[1]][:48]
-        singles = [[i] for i in distinct]
-        doubles = [[int(a), int(b)] for k, a in enumerate(distinct[:12]) for b in distinct[k + 1 : 12]]
+        distinct = mine[np.unique(self.sizes[mine], return_index=True)[1]]
+        twice = mine[_twice(self.sizes[mine])]
+        i, j = np.triu_indices(len(twice), 1)
+        outs, which = np.unique(np.concatenate([self.sizes[distinct], self.sizes[twice[i]] + self.sizes[twice[j]]]), return_index=True)
+        # for one item of another bin: the largest sum that still fits there
+        at = np.searchsorted(outs, size + room, side="right") - 1
+        gain = np.where(at >= 0, outs[np.maximum(at, 0)] - size, 0)
+        k = int(np.argmax(gain))
+        if gain[k] > 0:
+            n = int(which[at[k]])
+            down = [int(distinct[n])] if n < len(distinct) else [int(twice[x[n - len(distinct)]]) for x in (i, j)]
+            self.swap(down, [int(others[k])], low, int(self.bin[others[k]]))
+            return True
+        # for two items of another bin: of every bin the pair that one own item replaces with the greatest gain
         best, plan = 0, None
-        for down in singles + doubles:  # for one item of another bin
-            out = int(self.sizes[down].sum())
-            gain = out - size
-            ok = (gain > best) & (gain <= room)
-            if ok.any():
-                k = int(np.argmax(np.where(ok, gain, 0)))
-                best, plan = int(gain[k]), (down, [int(others[k])], int(self.bin[others[k]]))
-        if plan is None:  # for two items of another bin
-            for b in np.flatnonzero(gap)[:64]:
-                own = np.flatnonzero(self.bin == b)
-                own = own[np.argsort(self.sizes[own], kind="stable")]
-                have = self.sizes[own]
-                for i in distinct[:12]:
-                    want = self.sizes[i] - gap[b] - have  # the second must be this at least
-                    at = np.maximum(np.searchsorted(have, want), np.arange(len(own)) + 1)
-                    ok = at < len(own)
-                    gain = np.where(ok, self.sizes[i] - have - have[np.minimum(at, len(own) - 1)], 0)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best and gain[k] <= gap[b]:
-                        best, plan = int(gain[k]), ([int(i)], [int(own[k]), int(own[at[k]])], int(b))
+        want = self.sizes[distinct]
+        for b in np.argsort(-gap, kind="stable"):
+            if gap[b] <= best:  # a gain is no more than the other bin's gap
+                break
+            own = np.flatnonzero(self.bin == b)
+            own = own[_twice(self.sizes[own])]
+            if len(own) < 2:
+                continue
+            i, j = np.triu_indices(len(own), 1)
+            both, pair = np.unique(self.sizes[own[i]] + self.sizes[own[j]], return_index=True)
+            at = np.searchsorted(both, want - gap[b])  # the least sum that leaves the bin room for the item
+            gain = np.where(at < len(both), want - both[np.minimum(at, len(both) - 1)], 0)
+            k = int(np.argmax(gain))
+            if gain[k] > best:
+                p = pair[at[k]]
+                best, plan = int(gain[k]), ([int(distinct[k])], [int(own[i[p]]), int(own[j[p]])], int(b))
         if plan is None:
             return False
-        self.swap(plan[0], plan[1], low, plan[2])
+        self.swap(*plan[:2], low, plan[2])
         return True
 
-    def improve(self, steps: int = 4000) -> None:
-        """Empty the least filled bins until none can be emptied or the bound is met."""
+    def improve(self, steps: int = EXCHANGES, failures: int = FAILURES) -> None:
+        """Empty the least filled bins until the lower bound is met or ``failures`` of them are stuck."""
         stuck = np.zeros(len(self.fill), bool)
         least = self.least()
         for _ in range(steps):
@@ -150,12 +162,21 @@ class Bins:
             if not len(live) or np.count_nonzero(self.fill) <= least:
                 return
             low = int(live[np.argmin(self.fill[live])])
-            if self.fill[low] > self.capacity // 2 and stuck.sum() >= 8 or not self.exchange(low):
+            if not self.exchange(low):
                 stuck[low] = True
-                if stuck.sum() > 8:
+                if stuck.sum() > failures:
                     return
 
 
+def _twice(sizes: np.ndarray) -> np.ndarray:
+    """Places of two items at most of each size, smallest first."""
+    order = np.argsort(sizes, kind="stable")
+    held = sizes[order]
+    third = np.zeros(len(held), bool)
+    third[2:] = held[2:] == held[:-2]
+    return order[~third]
+
+
 def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each piece, and each piece's bin fill."""
     bins = Bins(lengths, capacity)
@@ -207,6 +228,7 @@ def pack(pieces: DataFrame, spark: SparkSession, capacity: int = CAPACITY, work:
     left_count = left.count()
     again = left.drop("sequence_id", "offset", "fill").withColumn("salt", F.lit(0).cast("long"))
     second = work.save(_round(again, max(1, left_count // (2 * BLOCK_PIECES)), 2, capacity), "repacked")
+    work.keep(rows, first, second)
     placed = whole.unionByName(first.filter(closed).drop("fill")).unionByName(second.drop("fill"))
     return placed.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
@@ -221,7 +243,12 @@ def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenise and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    See tokenize() and pack() for null, empty and long texts, ties, repeated rows and
+    missing ids. An empty table gives an empty table; other columns are left out, whatever
+    their names.
+    """
     cut = tokenize(docs, vocabulary, capacity)
     light = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(light, docs.sparkSession, capacity)

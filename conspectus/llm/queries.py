@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from . import decontam, fingerprints, langid, neardup, packing, pii, sharding, toxicity, url_filter, warc
 from .common import table
 
+#: Looked up by name where the texts are tokenised.
 VOCABULARY = "word_bpe_49k.json"
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(VOCABULARY)
-
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]

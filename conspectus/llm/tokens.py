@@ -143,8 +143,13 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder per worker process and vocabulary: a path, or the name of a public tokenizer's file."""
+    if vocabulary not in _encoders:
+        path = vocabulary
+        if "/" not in vocabulary:
+            import public_tokenizers
+
+            path = public_tokenizers.path(vocabulary)
+        _encoders[vocabulary] = Encoder(path)
+    return _encoders[vocabulary]

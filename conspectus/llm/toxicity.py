@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common, text
 
-#: Labelled documents that the models are fitted on at most: those of the lowest id hashes.
-SAMPLE = 4000
+#: Labelled documents that the models are fitted on at most, those of the lowest id hashes, and
+#: the bytes of text that these may have together (the first one always counts).
+SAMPLE, SAMPLE_BYTES = 4000, 128 << 20
 FOLDS = 3
 ROUNDS = 100
 PENALTY = 0.001
@@ -179,19 +180,28 @@ def fit_chain(found: np.ndarray, bounds: np.ndarray, truth: np.ndarray, categori
     return Chain(categories, keys[live], [Linear(m.weights[live], m.bias, m.chained) for m in models], cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
     """Fit the chain on labelled documents.
 
     categories: name -> SQL condition over the labels' columns, in the order of the
-    chain. Labels with a null id or condition are left out; where labels or ids
-    repeat, each pair of rows counts.
+    chain. Labels with a null id or condition are left out. An id counts once: where
+    labels repeat, it is in a category if any of them says so; where documents repeat,
+    the least text stands for it. The driver sees at most ``sample`` rows, with the
+    features of ``sample_bytes`` of text.
     """
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     names = list(categories)
     flags = [F.expr(f"cast(({c}) as int)").alias(f"c{i}") for i, c in enumerate(categories.values())]
-    known = labels.select("doc_id", *flags).dropna()
-    ids = docs.select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *[f"c{i}" for i in range(len(names))]).limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of bounded size
+    known = labels.select("doc_id", *flags).dropna().groupBy("doc_id").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(names))])
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(known, "doc_id")
+    once = sized.groupBy("doc_id").agg(F.min("n").alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(len(names))])
+    first = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    total = np.cumsum([r["n"] for r in first])
+    ids = first[: max(1, int(np.searchsorted(total, sample_bytes, side="right")))] if first else []
+    ids = spark.createDataFrame([(r["doc_id"], *(r[f"c{i}"] for i in range(len(names)))) for r in ids], "doc_id long" + "".join(f", c{i} int" for i in range(len(names))))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # of at most ``sample`` rows
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,13 +248,19 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic, low_quality, toxic and kept (not toxic)."""
+    """doc_id, p_low_quality, p_toxic, low_quality, toxic and kept (not toxic) of every row; see train() and score().
+
+    Without labels, or without any toxic one, no document is toxic.
+    """
     scored = score(docs, train(docs, labels, CATEGORIES))
     return scored.withColumn("kept", ~F.col("toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not toxic, row by row, with all columns and no shuffle."""
+    """The documents that are not toxic, row by row, with all columns and no shuffle.
+
+    Null and empty texts stay, as does everything where nothing could be learned.
+    """
     common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, CATEGORIES))
 

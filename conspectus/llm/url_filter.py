@@ -42,7 +42,7 @@ def further_levels(listed: np.ndarray, wrong: np.ndarray, first: int = 2) -> lis
     """Levels after the one whose false positives are ``wrong``; both are (n, 2) hash arrays."""
     levels, encode, against = [], wrong, listed
     while len(encode):
-        if first + len(levels) > 200:
+        if len(levels) > 200:
             raise ValueError("two keys have the same hashes")
         levels.append(bloom(encode[:, 0], encode[:, 1], 0.5, first + len(levels)))
         passed = against[levels[-1].has(against[:, 0], against[:, 1])]

@@ -41,11 +41,20 @@ def test_cascade_is_exact():
     assert url_filter.member(levels, listed[:, 0], listed[:, 1]).all() and not url_filter.member(levels, other[:, 0], other[:, 1]).any()
 
 
-def test_long_lists_are_joined(spark, monkeypatch):
-    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://a.org/fr/"), (3, None)], "page_id long, url string")
-    want = sorted(map(tuple, url_filter.judge(pages, queries.URL_RULES).collect()))
-    monkeypatch.setattr(url_filter, "MAX_LISTED", 1)
-    assert sorted(map(tuple, url_filter.judge(pages, queries.URL_RULES).collect()), key=str) == sorted(want, key=str)
+def test_long_rule_lists_agree_with_python(spark):
+    rng = random.Random(8)
+    rules = [(f"h{rng.randrange(3000)}.{rng.choice(['net', 'org'])}", rng.choice(["/", "/a/", "/bb"]), rng.choice(["allow", "block"])) for _ in range(4000)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{rng.choice(['', 'www.', 'x.y.'])}h{rng.randrange(4000)}.{rng.choice(['net', 'org', 'com'])}{rng.choice(['', '/', '/a/b', '/bbc'])}" for _ in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    by_host = {}
+    for h, p, v in rules:
+        by_host.setdefault(h, []).append((h, p, v))
+    for i, u in enumerate(urls):
+        host = u.split("://")[1].split("/")[0].split(".")
+        near = [r for k in range(len(host)) for r in by_host.get(".".join(host[k:]), [])]
+        assert got[i] == brute_verdict(u, near)
 
 
 def test_language_held_out_accuracy(spark, sf_dir):
@@ -139,7 +148,7 @@ def test_toxicity_tables(spark):
 
 
 def test_fingerprints_follow_the_contract(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 900)
     rng = random.Random(4)
     rows = [(i * 5, " ".join(f"w{rng.randrange(500)}é😀"[: rng.randrange(1, 7)] for _ in range(rng.randrange(80)))) for i in range(60)] + [(1001, None), (1002, "same words in both of these texts"), (1003, "same words in both of these texts")]
     got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -168,3 +177,167 @@ def test_archives_round_trip(spark):
     fetched = warc.fetch(index, [9, 3, 7, 1])
     assert fetched[9] == big.encode() and fetched[3] == html.encode() and len(fetched[7]) == 3 << 20 and fetched[1] == b""
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))[1].count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x, seed=0):
+    x ^= (seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & M64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_word(w):
+    base = 0x9E3779B97F4A7C15 | 1
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in w.encode())
+    return plain_mix((sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(data)) + len(data)) & M64)
+
+
+def plain_signature(text, words, count):
+    """MinHash with Python integers: the least value of all shingles under each permutation."""
+    ws = [plain_word(w) for w in text.split()]
+    grams = [ws[i : i + words] for i in range(len(ws) - words + 1)] if len(ws) >= words else [ws] * bool(ws)
+    first = 1 if len(ws) >= words else 1000
+    sets = set()
+    for g in grams:
+        h = 0
+        for j, w in enumerate(g):
+            h = plain_mix((h * 3 + w) & M64, first + j)
+        sets.add(h)
+    out = []
+    for k in range(1, count + 1):
+        a, b = plain_mix(k, 71) | 1, plain_mix(k, 72)
+        out.append(min(((v := (h * a + b) & M64) ^ (v >> 32) for h in sets), default=M64))
+    return out
+
+
+def test_signatures_agree_with_plain_minhash():
+    texts = ["one two three four five six seven", "ONE two", "", "é ü ñ x y z z z z z z z z", "same " * 40]
+    got = fingerprints.signatures(pa.array(texts), 5, 16)
+    assert [[int(x) for x in row] for row in got] == [plain_signature(t, 5, 16) for t in texts]
+    written = fingerprints.written(fingerprints.short(got))
+    for text, code in zip(texts, written, strict=True):
+        want = "".join(f"{plain_mix(v, 9) >> 48 | 1:04x}" for v in plain_signature(text, 5, 16)) if text else "0000" * 16
+        assert code == want
+    share = (fingerprints.short(got)[0] == fingerprints.short(got)[3]).mean()
+    assert abs(float(fingerprints.likeness(fingerprints.short(got)[:1], fingerprints.short(got)[3:4])[0]) - max(0.0, share)) < 1e-3
+
+
+def test_signature_bands_find_the_near_copies(spark):
+    """The banded join with verified Jaccard agrees with brute force."""
+    from .test_neardup import brute_rows, fixture_rows
+
+    rows = fixture_rows()
+    got = fingerprints.near_duplicates(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, bands string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_rows(rows, 5, 80))
+
+
+def test_language_scores_agree_with_plain_bayes():
+    """Log probabilities of hashed 1- to 3-grams, summed in Python."""
+    import math
+
+    texts = [("en", "the cat and the dog"), ("en", "a house on the hill"), ("fr", "le chat et le chien"), ("fr", "une maison sur la colline")]
+    langs = ["en", "fr"]
+    place = {}
+
+    def grams(t):
+        out = []
+        for n in langid.ORDERS:
+            for i in range(len(t) - n + 1):
+                g = t[i : i + n]
+                if g not in place:
+                    p, _ = langid.grams([g])
+                    place[g] = int(p[[sum(len(g) - m + 1 for m in langid.ORDERS[: langid.ORDERS.index(n)])][0]])
+                out.append(place[g])
+        return out
+
+    counts = {x: {} for x in langs}
+    for lang, t in texts:
+        for g in grams(t.lower()):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    for t in ("The chat", "la house", "colline"):
+        logs = []
+        for x in langs:
+            total = sum(counts[x].values()) + langid.SMOOTHING * langid.DIMENSIONS
+            logs.append(math.log(0.5) + sum(math.log((counts[x].get(g, 0) + langid.SMOOTHING) / total) for g in grams(t.lower())))
+        p, row = langid.grams([t])
+        assert sorted(p.tolist()) == sorted(grams(t.lower())) and not row.any()
+        n = np.zeros((langid.DIMENSIONS, 2))
+        for j, x in enumerate(langs):
+            for g, c in counts[x].items():
+                n[g, j] = c
+        matrix = np.log(n + langid.SMOOTHING) - np.log((n + langid.SMOOTHING).sum(axis=0))
+        assert np.allclose(matrix[p].sum(axis=0) + math.log(0.5), logs)
+
+
+def test_language_model_agrees_with_plain_bayes(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([("en", "the cat and the dog"), ("fr", "le chat et le chien"), ("en", "a house"), ("fr", "une maison"), (None, "x"), ("de", None)] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix, prior = langid.fit(docs)
+    assert langs == ["en", "fr"] and np.allclose(prior, np.log([0.5, 0.5]))
+    for j, lang in enumerate(langs):
+        own = [langid.grams([t])[0] for _, t, x in rows if x == lang and t]
+        n = np.bincount(np.concatenate(own), minlength=langid.DIMENSIONS) + langid.SMOOTHING
+        assert np.allclose(matrix[:, j], np.log(n / n.sum()), atol=1e-4)
+
+
+def test_chain_scores_agree_with_plain_sums():
+    """Each model's probability from a dictionary of weights, the earlier ones' probabilities added."""
+    import math
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["red", "blue", "awful", "nasty", "calm", "kind"], 8)) for _ in range(80)]
+    truth = np.array([[float("blue" in t), float("awful" in t)] for t in texts])
+    found, bounds = toxicity.distinct(*toxicity.features(pa.array(texts)), len(texts))
+    chain = toxicity.fit_chain(found, bounds, truth, ["a", "b"], np.arange(80) % toxicity.FOLDS)
+    p, some = chain.score(pa.array([*texts, ""]))
+    at = {int(k): i for i, k in enumerate(chain.keys)}
+    for n, t in enumerate([*texts, ""]):
+        own = {int(f) for f in toxicity.features(pa.array([t]))[0]}
+        before = []
+        for c, model in enumerate(chain.models):
+            z = sum(model.weights[at[f]] for f in own if f in at) + model.bias + sum(w * x for w, x in zip(model.chained, before, strict=True))
+            before.append(1 / (1 + math.exp(-z)))
+            assert abs(p[n, c] - before[-1]) < 1e-9
+        assert some[n] == bool(own)
+
+
+def test_toxicity_counts_repeated_ids_once(spark):
+    texts = [("you nasty thing " if i % 4 == 0 else "a fine day ") + f"number{i % 7}" for i in range(120)]
+    once = [(i, t) for i, t in enumerate(texts)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(100)]
+    schema, kinds = "doc_id long, text string", "doc_id long, quality int, toxic int"
+    plain = toxicity.train(spark.createDataFrame(once, schema), spark.createDataFrame(labels, kinds), toxicity.CATEGORIES)
+    many = toxicity.train(spark.createDataFrame(once + [once[3]] * 500, schema), spark.createDataFrame(labels * 3, kinds), toxicity.CATEGORIES)
+    assert np.array_equal(plain.keys, many.keys) and all(np.allclose(a.weights, b.weights) for a, b in zip(plain.models, many.models, strict=True))
+    small = toxicity.train(spark.createDataFrame(once, schema), spark.createDataFrame(labels, kinds), toxicity.CATEGORIES, sample_bytes=10)
+    assert small.models[0].bias  # one document
+
+
+def test_decontamination_hits_in_slices(spark, monkeypatch):
+    """A window that all items share, in many slices."""
+    shared = [f"s{i}" for i in range(14)]
+    items = [(k, " ".join(shared + [f"k{k}w{i}" for i in range(6)])) for k in range(40)]
+    docs = [(1, " ".join(["lead", *shared, "tail"])), (2, "nothing here at all in this text"), (3, " ".join(shared * 30)), (4, ""), (5, None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.inspect(*frames).collect()))
+    assert [r[2] for r in want] == [40, 0, 40, 0, 0]
+    monkeypatch.setattr(decontam, "HITS", 7)
+    assert sorted(map(tuple, decontam.inspect(*frames).collect())) == want
+
+
+def test_archives_share_hot_payloads_and_read_in_parallel(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 4000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 20000)
+    hot = "hot " * 400
+    rows = [(i, f"u{i}", hot if i % 3 == 0 else f"page {i} " * (i % 400), i) for i in range(600)] + [(3, "again", hot, 0), (None, "x", hot, 1)]
+    index, read = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string, frame int"))
+    got = sorted(map(tuple, read.collect()), key=str)
+    want = []
+    for d, _, t, _ in rows:
+        raw = t.encode()
+        revisit = t == hot and d is not None and d != 597
+        want.append((d, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 597 if revisit else None))
+    assert got == sorted(want, key=str) and index.select("bundle").distinct().count() > 3 and index.count() == len(rows)
