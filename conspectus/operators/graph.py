@@ -14,19 +14,62 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
-def relationships(mentions: DataFrame, prerequisite_gap: int = 3) -> DataFrame:
-    """Edges between concepts that share segments. mentions: concept_id, segment_id, pos.
-
-    Strength grows with shared segments up to five; a concept that first appears more
-    than ``prerequisite_gap`` places before the other is its prerequisite.
+def relationships(mentions: DataFrame, concepts: DataFrame, gap: int = 3) -> DataFrame:
+    """src, dst, kind and strength for every ordered pair of concepts that share segments.
+
+    mentions: concept_id, segment_id, pos, context; concepts: concept_id, text. Strength grows
+    with shared segments up to five. src is a prerequisite of dst where it first appears
+    more than ``gap`` places earlier and a context of dst names it; dst is a more general
+    form of src (is_a, of strength 0.7 at least) where its text is a part of src's. A
+    segment's pairs are made once, for src below dst, and turned round afterwards.
     """
-    one = mentions.groupBy("concept_id").agg(F.min("pos").alias("first"))
-    m = mentions.select("concept_id", "segment_id").distinct()
-    pairs = m.join(m.select(F.col("concept_id").alias("other_id"), "segment_id"), "segment_id").filter("concept_id < other_id")
+    m = mentions.groupBy("concept_id", "segment_id").agg(F.min("pos").alias("pos"))
+    first = m.groupBy("concept_id").agg(F.min("pos").alias("first"))
+    held = m.select("segment_id", "concept_id")
+    pairs = held.join(held.select("segment_id", F.col("concept_id").alias("other_id")), "segment_id").filter("concept_id < other_id")
     shared = pairs.groupBy("concept_id", "other_id").agg(F.count("*").alias("n"))
-    firsts = shared.join(one, "concept_id").join(one.select(F.col("concept_id").alias("other_id"), F.col("first").alias("other_first")), "other_id")
-    kind = F.when(F.abs(F.col("first") - F.col("other_first")) > prerequisite_gap, "prerequisite").otherwise("related")
-    return firsts.select("concept_id", "other_id", "n", F.least(F.col("n") / 5, F.lit(1.0)).alias("strength"), kind.alias("kind"))
+    both = shared.select(F.explode(F.array(F.struct(F.col("concept_id").alias("src"), F.col("other_id").alias("dst")), F.struct(F.col("other_id").alias("src"), F.col("concept_id").alias("dst")))).alias("e"), "n").select("e.*", "n")
+    facts = concepts.select("concept_id", F.lower("text").alias("name")).join(first, "concept_id")
+    side = lambda c, n: facts.select(F.col("concept_id").alias(c), F.col("name").alias(f"{c}_name"), F.col("first").alias(n))
+    known = both.join(side("src", "src_first"), "src").join(side("dst", "dst_first"), "dst")
+    early = known.filter(F.col("src_first") < F.col("dst_first") - gap)
+    # only early pairs look into contexts, each context once
+    contexts = mentions.select(F.col("concept_id").alias("dst"), F.lower("context").alias("context")).filter("context is not null").distinct()
+    named = early.select("src", "dst", "src_name").join(contexts, "dst").filter(F.contains("context", "src_name")).select("src", "dst").distinct().withColumn("named", F.lit(True))
+    strength = F.least(F.col("n") / 5, F.lit(1.0))
+    general = F.contains("src_name", "dst_name") & (F.length("src_name") > F.length("dst_name"))
+    kind = F.when(general, "is_a").when(F.col("named"), "prerequisite").otherwise("related")
+    return known.join(named, ["src", "dst"], "left").select("src", "dst", kind.alias("kind"), F.when(general, F.greatest(strength, F.lit(0.7))).otherwise(strength).alias("strength"))
+
+
+def set_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst, kind, strength) with the new ones (and their ``at``) in place of those of the same ends; the last wins.
+
+    Both ends have to be nodes (id).
+    """
+    valid = new.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    last = valid.groupBy("src", "dst").agg(F.max_by(F.struct("kind", "strength"), "at").alias("e")).select("src", "dst", "e.kind", "e.strength")
+    return edges.join(last, ["src", "dst"], "left_anti").unionByName(last)
+
+
+def related(edges: DataFrame, least: float = 0.3) -> DataFrame:
+    """Out-edges of at least this strength."""
+    return edges.filter(F.col("strength") >= least).select("src", "dst", "strength")
+
+
+def direct_prerequisites(edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """id, prerequisite and rank: sources of prerequisite edges, the highest score first. scores: id, score."""
+    from .reports import top_per_group
+
+    into = edges.filter("kind = 'prerequisite'").select(F.col("dst").alias("id"), F.col("src").alias("prerequisite"))
+    known = into.join(scores.select(F.col("id").alias("prerequisite"), "score"), "prerequisite")
+    return top_per_group(known, ["id"], [F.desc("score"), "prerequisite"], 1 << 30).select("id", "prerequisite", "rank")
+
+
+def clusters(nodes: DataFrame) -> DataFrame:
+    """Node ids by domain and by language. nodes: id, domain, language."""
+    by = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("domain", "language")]))
+    return nodes.select("id", by.alias("c")).groupBy("c.kind", "c.value").agg(F.count("*").alias("nodes"))
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Registered queries of the concept index, and the same queries in SQL."""
 
-from . import language, relational, textual
+from . import graphs, language, relational, searching, textual
 
-MODULES = (relational, textual, language)
+MODULES = (relational, textual, language, graphs, searching)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lcs, morphology
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import graph, matching, resolve, search, transcripts
+from ..operators import graph, matching, resolve, transcripts
 from ..sources import model as M
 from ..streaming import state
 
@@ -217,15 +217,6 @@ def link_chains(spark, d):
     return resolve.compress_chains(links)
 
 
-_MENTIONS = "m AS (SELECT DISTINCT l_partkey AS concept_id, l_orderkey AS segment_id, l_orderkey % 100 AS pos FROM lineitem)"
-
-
-@query("edges_o2", f"WITH {_MENTIONS}, f AS (SELECT concept_id, min(pos) AS first FROM m GROUP BY concept_id) SELECT s.concept_id, s.other_id, n, least(n / 5, 1.0) AS strength, CASE WHEN abs(a.first - b.first) > 3 THEN 'prerequisite' ELSE 'related' END AS kind FROM (SELECT a.concept_id, b.concept_id AS other_id, count(*) AS n FROM m a JOIN m b ON a.segment_id = b.segment_id AND a.concept_id < b.concept_id GROUP BY ALL) s JOIN f a ON a.concept_id = s.concept_id JOIN f b ON b.concept_id = s.other_id")
-def edges(spark, d):
-    mentions = M.table(spark, d, "lineitem").select(F.col("l_partkey").alias("concept_id"), F.col("l_orderkey").alias("segment_id"), (F.col("l_orderkey") % 100).alias("pos"))
-    return graph.relationships(mentions)
-
-
 @query("hierarchy_l4", "WITH o AS (SELECT l_partkey AS id, count(*) AS occurrences, max(l_quantity / 10) AS weight FROM lineitem GROUP BY l_partkey), e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1) SELECT id, round(0.2 / len(string_split(p_name, ' ')) + 0.25 * least(coalesce(outs, 0) / 10, 1.0) + 0.15 * least(occurrences / 20, 1.0) + 0.25 * least(coalesce(ins, 0) / 5, 1.0) + 0.15 * least(weight / 5, 0.4), 6) AS score FROM o JOIN part ON p_partkey = id LEFT JOIN (SELECT src AS s, count(*) AS outs FROM e GROUP BY src) ON s = id LEFT JOIN (SELECT dst AS t, count(*) AS ins FROM e GROUP BY dst) ON t = id")
 def hierarchy(spark, d):
     by = M.occurrences(spark, d).groupBy(F.col("concept_id").alias("id")).agg(F.count("*").alias("occurrences"), F.max("significance").alias("weight"))
@@ -250,24 +241,6 @@ def topological_levels(spark, d):
     return graph.levels(M.table(spark, d, "part").select(F.col("p_partkey").alias("node")), M.prerequisites(spark, d))
 
 
-@query("shortest_path_p7", "WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (3 * p_partkey + 1) % n + 1 AS dst FROM part, n UNION SELECT p_partkey, (p_partkey * 2) % n + 1 FROM part, n), r(node, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 8) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node")
-def shortest_path(spark, d):
-    """Within 8 hops only, as its SQL has it; shortest_path_all_p7 goes as far as there are nodes."""
-    return graph.shortest_paths(_steps(spark, d), 1, 8).select("node", "hops")
-
-
-@query("shortest_path_all_p7")
-def shortest_path_all(spark, d):
-    return graph.shortest_paths(_steps(spark, d), 1).select("node", "hops")
-
-
-def _steps(spark, d):
-    p = M.table(spark, d, "part").select(F.col("p_partkey").alias("src"))
-    n = p.count()
-    both = F.explode(F.array((F.col("src") * 3 + 1) % n + 1, (F.col("src") * 2) % n + 1))
-    return p.select("src", both.alias("dst")).distinct()
-
-
 @query("ngram_mining_j16", r"WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents), g AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (2), (3)) v(k))) SELECT gram, CAST(k AS INTEGER) AS k, count(*) AS df, round(0.3 * k + 2.0 * count(*) / (SELECT count(*) FROM documents), 6) AS score FROM g GROUP BY gram, k HAVING count(*) >= 20")
 def ngram_mining(spark, d):
     t = docs(spark, d)
@@ -299,27 +272,6 @@ def significance(spark, d):
     return c.select("conv_id", "turn", F.round(F.least(score, F.lit(5.0)), 6).alias("significance"))
 
 
-_FOLD = "' ' || trim(regexp_replace(translate(lower({c}), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-
-
-@query("phrase_search_q1", "SELECT doc_id, lang FROM (SELECT doc_id, lang, " + _FOLD.format(c="text") + " AS t FROM documents) WHERE contains(t, ' of the ')")
-def phrase_search(spark, d):
-    return search.phrase_search(docs(spark, d).select("doc_id", "lang", "text"), ["of THE"]).select("doc_id", "lang")
-
-
-@query("synonym_search_q3", "SELECT doc_id, CAST(contains(t, ' of the ') AS INTEGER) + CAST(contains(t, ' und die ') AS INTEGER) + CAST(contains(t, ' de la ') AS INTEGER) AS matched FROM (SELECT doc_id, " + _FOLD.format(c="text") + " AS t FROM documents) WHERE matched > 0")
-def synonym_search(spark, d):
-    return search.phrase_search(docs(spark, d).select("doc_id", "text"), ["of the", "und die", "de la"]).select("doc_id", "matched")
-
-
-@query("relevance_l7", M.with_sql("videos concepts occ", "SELECT concept_id, video_id, segment_pos, round(1 + 2.0 * CAST(contains(text, 'green') AS INTEGER) + CAST(contains(text, 'e') AS INTEGER) + 1.5 * CAST(contains(title, 'HIGH') AS INTEGER) + (1 - abs(0.5 - ratio)) + 1.3 + CASE WHEN significance > 2.5 THEN 2.0 ELSE 0 END + 0.4 * least(significance, 5.0), 6) AS score FROM occ JOIN concepts USING (concept_id) JOIN videos USING (video_id)"))
-def relevance(spark, d):
-    rows = M.occurrences(spark, d).join(M.concepts(spark, d), "concept_id").join(M.videos(spark, d), "video_id")
-    has = lambda c, w: F.contains(F.col(c), F.lit(w))
-    score = search.relevance(has("title", "HIGH"), has("text", "green"), has("text", "e").cast("int"), F.col("ratio"), 0.5, F.lit(True), F.col("significance"))
-    return rows.select("concept_id", "video_id", "segment_pos", score.alias("score"))
-
-
 @query("rate_limit_u1")
 def rate_limit(spark, d):
     e = M.table(spark, d, "events").select(F.col("user_id").alias("client"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
