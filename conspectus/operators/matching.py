@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lcs, morphology
 from ..functions import text as T
+from . import similarity
 from .transcripts import ngrams
 
 
@@ -36,13 +37,16 @@ def cascade(wanted: DataFrame, concepts: DataFrame, threshold: float = 0.8) -> D
 
 
 def fuzzy(wanted: DataFrame, names: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pairs of texts whose indel ratio reaches the threshold.
+    """Pairs of texts (query, name) whose indel ratio reaches the threshold.
 
-    The ratio bounds the lengths' quotient, so texts meet by length only: each name is
-    joined under every length within its band, an equi-join.
+    A prefix filter over characters proposes pairs, lengths and shared characters rule
+    most of them out, and only what is left is compared.
     """
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    n = F.length("query")
-    banded = wanted.withColumn("size", F.explode(F.sequence(F.ceil(n * low).cast("int"), F.floor(n * high).cast("int"))))
-    pairs = banded.join(names.withColumn("size", F.length("name")), "size").select("query", "name")
+    pairs = similarity.ratio_pairs(wanted.select(F.col("query").alias("name")), names.select("name"), threshold)
+    pairs = pairs.select(F.col("a").alias("query"), F.col("b").alias("name"))
     return pairs.withColumn("ratio", F.round(lcs.indel_ratio(F.col("query"), F.col("name")), 6)).filter(F.col("ratio") >= threshold)
+
+
+def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """query, concept_id: concepts of the query's language one of whose indexed forms equals it. index: concept_id, language, form."""
+    return wanted.join(index, (F.col("query") == F.col("form")) & (F.col("asked") == F.col("language"))).select("query", "asked", "concept_id").distinct()

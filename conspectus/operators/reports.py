@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..sources.model import COMPREHENSIVE
 
 
-def concept_occurrences(occ: DataFrame, videos: DataFrame, concepts: DataFrame, least: float = COMPREHENSIVE, limit: int = 100) -> DataFrame:
-    """The most significant occurrences with their video and concept."""
+def concept_occurrences(occ: DataFrame, videos: DataFrame, concepts: DataFrame, segments: DataFrame | None = None, least: float = COMPREHENSIVE, limit: int = 100) -> DataFrame:
+    """The most significant occurrences with their video and concept, and their segment where segments (video_id, segment_pos) are given.
+
+    Occurrences without a stored video, concept or segment are no part of the result, so
+    the joins come before the limit.
+    """
     order = [F.desc("significance"), "concept_id", "video_id", "segment_pos"]
-    # the top rows are settled before either lookup: both joins are on keys without orphans
-    top = occ.filter(F.col("significance") >= least).orderBy(*order).limit(limit)
-    found = top.join(videos.select("video_id", "title", "language"), "video_id").join(concepts.select("concept_id", "text", "domain"), "concept_id")
-    return found.select("concept_id", "text", "domain", "video_id", "title", "language", "segment_pos", "significance")
+    found = occ.filter(F.col("significance") >= least)
+    if segments is not None:
+        found = found.join(segments.select("video_id", "segment_pos").distinct(), ["video_id", "segment_pos"], "left_semi")
+    found = found.join(videos.select("video_id", "title", "language"), "video_id").join(concepts.select("concept_id", "text", "domain"), "concept_id")
+    return found.select("concept_id", "text", "domain", "video_id", "title", "language", "segment_pos", "significance").orderBy(*order).limit(limit)
 
 
 def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
@@ -47,8 +52,8 @@ def educational_report(occ: DataFrame, concepts: DataFrame, least: float, limit:
     by = occ.filter(F.col("significance") >= least).groupBy("concept_id").agg(
         F.countDistinct("video_id").alias("videos"), F.count("*").alias("occurrences"), F.max("significance").alias("weight")
     )
-    top = by.orderBy(F.desc("weight"), F.desc("occurrences"), "concept_id").limit(limit)
-    return top.join(concepts.select("concept_id", "text", "domain"), "concept_id")
+    known = by.join(concepts.select("concept_id", "text", "domain"), "concept_id")  # before the limit: the catalogue may lack some
+    return known.orderBy(F.desc("weight"), F.desc("occurrences"), "concept_id").limit(limit)
 
 
 def domain_stats(occ: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def related_concepts(occ: DataFrame, concepts: DataFrame, n: int = 10) -> DataFr
     both = pairs.unionByName(pairs.select(F.col("other_id").alias("concept_id"), F.col("concept_id").alias("other_id"), "shared"))
     near = both.select("concept_id", "other_id", F.lit(0).alias("kind"), "shared")
     heads = top_per_group(concepts.filter("canonical is null"), ["domain"], ["concept_id"], n, "place").select("domain", F.col("concept_id").alias("other_id"))
-    alike = concepts.select("concept_id", "domain").join(F.broadcast(heads), "domain").filter("concept_id <> other_id")  # n rows of each domain
+    alike = concepts.select("concept_id", "domain").join(heads, "domain").filter("concept_id <> other_id")
     every = near.unionByName(alike.select("concept_id", "other_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("shared")))
     once = every.groupBy("concept_id", "other_id").agg(F.min("kind").alias("kind"), F.max("shared").alias("shared"))
     return top_per_group(once, ["concept_id"], ["kind", F.desc("shared"), "other_id"], n)

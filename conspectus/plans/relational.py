@@ -20,9 +20,37 @@ def query(name: str, sql: str):
     return add
 
 
-@query("concept_occurrences_c2", M.with_sql("videos concepts occ", "SELECT concept_id, text, domain, video_id, title, language, segment_pos, significance FROM (SELECT * FROM occ WHERE significance >= 2.5 ORDER BY significance DESC, concept_id, video_id, segment_pos LIMIT 100) JOIN videos USING (video_id) JOIN concepts USING (concept_id)"))
+# occurrences of some videos, concepts and segments that are not stored
+_STORED = "v AS (SELECT * FROM videos WHERE video_id % 7 <> 3), c AS (SELECT * FROM concepts WHERE concept_id % 11 <> 5), g AS (SELECT DISTINCT video_id, segment_pos FROM occ WHERE video_id % 5 <> 1)"
+
+
+def _stored(spark, d):
+    occ = M.occurrences(spark, d)
+    return occ, M.videos(spark, d).filter("video_id % 7 <> 3"), M.concepts(spark, d).filter("concept_id % 11 <> 5"), occ.filter("video_id % 5 <> 1")
+
+
+@query("concept_occurrences_c2", M.with_sql("videos concepts occ", f", {_STORED} SELECT concept_id, text, domain, video_id, title, language, segment_pos, significance FROM occ JOIN v USING (video_id) JOIN c USING (concept_id) JOIN g USING (video_id, segment_pos) WHERE significance >= 2.5 ORDER BY significance DESC, concept_id, video_id, segment_pos LIMIT 100"))
 def concept_occurrences(spark, d):
-    return R.concept_occurrences(M.occurrences(spark, d), M.videos(spark, d), M.concepts(spark, d))
+    return R.concept_occurrences(*_stored(spark, d))
+
+
+@query("occurrence_joins_d1", M.with_sql("videos concepts occ", f", {_STORED} SELECT title, count(*) AS n, round(sum(significance), 4) AS weight FROM occ JOIN v USING (video_id) JOIN g USING (video_id, segment_pos) GROUP BY title"))
+def occurrence_joins(spark, d):
+    occ, v, _, g = _stored(spark, d)
+    found = occ.join(v, "video_id").join(g.select("video_id", "segment_pos").distinct(), ["video_id", "segment_pos"])
+    return found.groupBy("title").agg(F.count("*").alias("n"), F.round(F.sum("significance"), 4).alias("weight"))
+
+
+@query("catalogue_occurrences_d4", M.with_sql("videos concepts occ", f", {_STORED} SELECT domain, count(*) AS n FROM occ JOIN c USING (concept_id) GROUP BY domain"))
+def catalogue_occurrences(spark, d):
+    occ, _, c, _ = _stored(spark, d)
+    return occ.join(c, "concept_id").groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query("variant_occurrences_d7", M.with_sql("concepts occ", ", f AS (SELECT root AS family, concept_id FROM concepts) SELECT family, concept_id, count(*) AS n FROM f JOIN occ USING (concept_id) GROUP BY ALL"))
+def variant_occurrences(spark, d):
+    family = M.concepts(spark, d).select(F.col("root").alias("family"), "concept_id")
+    return family.join(M.occurrences(spark, d), "concept_id").groupBy("family", "concept_id").agg(F.count("*").alias("n"))
 
 
 @query("segments_by_video_c1", M.with_sql("occ", "SELECT video_id, segment_pos, start_time, significance FROM occ WHERE video_id BETWEEN 1 AND 50 AND significance >= 1.0 AND start_time >= 20"))
@@ -93,9 +121,9 @@ def hit_enrichment(spark, d):
     return out.select("concept_id", "video_id", "segment_pos", "text", F.when(F.col("significance") >= M.COMPREHENSIVE, F.col("title")).alias("title"))
 
 
-@query("educational_report_e1", M.with_sql("concepts occ", "SELECT * FROM (SELECT concept_id, count(DISTINCT video_id) AS videos, count(*) AS occurrences, max(significance) AS weight FROM occ WHERE significance >= 2.5 GROUP BY concept_id ORDER BY weight DESC, occurrences DESC, concept_id LIMIT 100) JOIN (SELECT concept_id, text, domain FROM concepts) USING (concept_id)"))
+@query("educational_report_e1", M.with_sql("concepts occ", "SELECT concept_id, count(DISTINCT video_id) AS videos, count(*) AS occurrences, max(significance) AS weight, text, domain FROM occ JOIN (SELECT concept_id, text, domain FROM concepts WHERE concept_id % 11 <> 5) USING (concept_id) WHERE significance >= 2.5 GROUP BY concept_id, text, domain ORDER BY weight DESC, occurrences DESC, concept_id LIMIT 100"))
 def educational_report(spark, d):
-    return R.educational_report(M.occurrences(spark, d), M.concepts(spark, d), M.COMPREHENSIVE)
+    return R.educational_report(M.occurrences(spark, d), M.concepts(spark, d).filter("concept_id % 11 <> 5"), M.COMPREHENSIVE)
 
 
 @query("domain_stats_e2", M.with_sql("concepts occ", "SELECT domain, count(DISTINCT video_id) AS videos, count(*) AS occurrences, count(*) FILTER (significance >= 2.5) AS comprehensive FROM occ JOIN concepts USING (concept_id) GROUP BY domain"))
@@ -198,7 +226,7 @@ def shared_ids(spark, d):
 @query("missing_ids_g3", "SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def missing_ids(spark, d):
     o = M.table(spark, d, "orders")
-    return o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).exceptAll(o.filter("o_orderstatus = 'O'").select("o_custkey")).distinct().join(o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).subtract(o.filter("o_orderstatus = 'O'").select("o_custkey"))
 
 
 @query("exact_then_variant_g5", M.with_sql("concepts", "SELECT domain, text, min(CASE WHEN canonical IS NULL THEN 0 ELSE 1 END) AS kind, min(concept_id) AS concept_id FROM concepts GROUP BY domain, text"))

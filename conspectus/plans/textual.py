@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lcs, morphology
+from ..functions import morphology
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import graph, matching, resolve, transcripts
@@ -176,29 +176,6 @@ def cascade_lookup_all(spark, d):
     return matching.cascade(wanted, M.concepts(spark, d).select("concept_id", "text"))
 
 
-_LCS = "list_reduce(list_transform(string_split(a, ''), lambda c: [CAST(unicode(c) AS BIGINT)]), lambda row, x: list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda acc, j: list_append(acc, greatest(acc[len(acc)], row[j[1] + 1], row[j[1]] + CASE WHEN unicode(substr(b, j[1], 1)) = x[1] THEN 1 ELSE 0 END)), [CAST(0 AS BIGINT)]), list_transform(range(0, length(b) + 1), lambda z: CAST(0 AS BIGINT)))[length(b) + 1]"
-_PAIRS = f"SELECT a, b, {_LCS} AS n FROM (SELECT DISTINCT p_name AS a FROM part) JOIN (SELECT DISTINCT p_name AS b FROM part) ON a < b"
-
-
-@query("lcs_similarity_n1", f"SELECT a, b, similarity FROM (SELECT a, b, round(CASE WHEN n < 2 THEN 0 ELSE n / least(length(a), length(b)) END, 6) AS similarity FROM ({_PAIRS})) WHERE similarity >= 0.6")
-def lcs_similarity(spark, d):
-    names = M.table(spark, d, "part").select(F.lit(1).alias("block"), F.col("p_name").alias("name")).distinct()
-    return resolve.similar_pairs(names, 0.6)
-
-
-@query("indel_ratio_k4", f"SELECT a AS query, b AS name, ratio FROM (SELECT a, b, round(2 * n / (length(a) + length(b)), 6) AS ratio FROM ({_PAIRS})) WHERE ratio >= 0.6")
-def indel_ratio(spark, d):
-    names = M.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return matching.fuzzy(names.select(F.col("name").alias("query")), names, 0.6).filter("query < name")
-
-
-@query("leader_clusters_n3")
-def leader_clusters(spark, d):
-    names = M.table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("rank"))
-    pairs = resolve.similar_pairs(names.select(F.lit(1).alias("block"), "name"), 0.75)
-    return resolve.leader_clusters(names, pairs)
-
-
 @query("canonical_pick_e14", "WITH m AS (SELECT p_type AS cluster, p_partkey AS id, p_size AS frequency, p_retailprice / 1000 AS weight, round(0.4 * p_size + 0.2 * (p_retailprice / 500) + 0.3 * (p_retailprice / 1000) + 0.1 * len(string_split(p_name, ' ')), 6) AS q FROM part) SELECT cluster, arg_max(id, (q, -id)) AS canonical, CAST(sum(frequency) AS BIGINT) AS frequency, max(weight) AS weight, count(*) AS variants FROM m GROUP BY cluster")
 def canonical_pick(spark, d):
     p = M.table(spark, d, "part")
