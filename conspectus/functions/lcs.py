@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -65,3 +65,31 @@ def common_subsequence(sequences: list[list[str]], least: int = 2) -> list[str]:
         if len(out) < least:
             return []
     return out
+
+
+def token_run(sequences: list[list[str]], domain_terms: frozenset[str] = frozenset(), shortest: int = 2, longest: int = 10) -> list[str]:
+    """The run of tokens of the highest score among those that half of the sequences share; of equal scores the first in order."""
+    need, homes = max(2, len(sequences) // 2), {}
+    for k, s in enumerate(sequences):
+        for n in range(shortest, min(longest, len(s)) + 1):
+            for i in range(len(s) - n + 1):
+                homes.setdefault(tuple(s[i : i + n]), set()).add(k)
+    best = [(-round(len(g) * len(h) / len(sequences) * (1 + 0.2 * sum(t in domain_terms for t in g)), 6), g) for g, h in homes.items() if len(h) >= need]
+    return list(min(best)[1]) if best else []
+
+
+def find_mlcs(sequences: list[list[str]], least: int = 2) -> list[str]:
+    """What a few sequences have in common: of two a subsequence, of more a subsequence of characters or the best run of words."""
+    if len(sequences) < 2:
+        return list(sequences[0]) if sequences else []
+    if len(sequences) == 2:
+        out = lcs_string(*sequences)
+        return out if len(out) >= least else []
+    if all(len(s) == 0 or len(s[0]) <= 1 for s in sequences):
+        return common_subsequence(sequences, least)
+    return token_run(sequences)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def mlcs(sequences: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else find_mlcs([list(s) for s in x]) for x in sequences])

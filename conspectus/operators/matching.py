@@ -24,13 +24,15 @@ def contained(texts: DataFrame, key: str, terms: DataFrame, longest: int = 3) ->
     return every.join(terms.select("term").distinct(), "term").select(key, "term")
 
 
-def cascade(wanted: DataFrame, concepts: DataFrame, threshold: float = 0.8) -> DataFrame:
+def cascade(wanted: DataFrame, concepts: DataFrame, threshold: float = 0.8, fuzzy_too: bool = True) -> DataFrame:
     """wanted (query), concepts (concept_id, text): exact matches and those of a variant; a query without any has its fuzzy ones."""
     exact = wanted.join(concepts, F.col("query") == F.col("text")).select("query", "concept_id", F.lit(1.0).alias("similarity"))
     left = wanted.select("query", F.explode(morphology.variants(F.col("query"))).alias("form"))
     right = concepts.select("concept_id", F.explode(morphology.variants(F.col("text"))).alias("form"))
     variant = left.join(right, "form").select("query", "concept_id").distinct().join(exact, ["query", "concept_id"], "left_anti").select("*", F.lit(0.95).alias("similarity"))
     found = exact.unionByName(variant)
+    if not fuzzy_too:
+        return found
     rest = wanted.select("query").distinct().join(found.select("query").distinct(), "query", "left_anti")
     near = fuzzy(rest, concepts.select(F.col("text").alias("name")).distinct(), threshold)
     return found.unionByName(near.join(concepts, F.col("name") == F.col("text")).select("query", "concept_id", F.col("ratio").alias("similarity")))

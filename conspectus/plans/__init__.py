@@ -1,8 +1,8 @@
 """Registered queries of the concept index, and the same queries in SQL."""
 
-from . import graphs, language, relational, resolving, searching, textual
+from . import graphs, language, mining, relational, resolving, searching, textual
 
-MODULES = (relational, textual, language, graphs, searching, resolving)
+MODULES = (relational, textual, language, graphs, searching, resolving, mining)
 
 
 def queries() -> dict:

@@ -218,25 +218,6 @@ def topological_levels(spark, d):
     return graph.levels(M.table(spark, d, "part").select(F.col("p_partkey").alias("node")), M.prerequisites(spark, d))
 
 
-@query("ngram_mining_j16", r"WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents), g AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (2), (3)) v(k))) SELECT gram, CAST(k AS INTEGER) AS k, count(*) AS df, round(0.3 * k + 2.0 * count(*) / (SELECT count(*) FROM documents), 6) AS score FROM g GROUP BY gram, k HAVING count(*) >= 20")
-def ngram_mining(spark, d):
-    t = docs(spark, d)
-    total = t.count()
-    tokens = T.words(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    held = t.select("doc_id", tokens.alias("w"))
-    grams = F.array(*[F.struct(F.lit(k).alias("k"), F.array_distinct(transcripts.ngrams(F.col("w"), k)).alias("g")) for k in (2, 3)])
-    each = held.select(F.explode(grams).alias("x")).select("x.k", F.explode("x.g").alias("gram"))
-    by = each.groupBy("gram", "k").agg(F.count("*").alias("df")).filter("df >= 20")
-    return by.withColumn("score", F.round(0.3 * F.col("k") + 2.0 * F.col("df") / total, 6))
-
-
-@query("tfidf_m5", "WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM " + _TERMS + " GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id) SELECT term, round(sum(w / norm) / (SELECT count(*) FROM documents), 6) AS score FROM w JOIN n USING (doc_id) GROUP BY term")
-def tfidf(spark, d):
-    t = docs(spark, d)
-    found = transcripts.terms(t, ["doc_id"])
-    return transcripts.tfidf(found, "doc_id", t.count()).withColumn("score", F.round("score", 6))
-
-
 @query("significance_l1", "SELECT conv_id, turn, round(least(5.0, 0.8 * (0.8 * m + least(w / 20.0, 2.0)) + 1.2 * least(m, 1) + CASE WHEN i > 0 THEN 0.5 * (1 - 2 * abs(0.5 - (i - 1) / greatest(1, length(text) - 4))) ELSE 0 END + CASE WHEN w > 30 THEN 0.8 WHEN w > 15 THEN 0.4 ELSE 0 END), 6) AS significance FROM (SELECT conv_id, turn, text, " + has_sql("lower(text)", L.TEST_MARKERS) + " AS m, " + WORDS_SQL.format(c="text") + " AS w, strpos(lower(text), 'tion') AS i FROM conversations)")
 def significance(spark, d):
     c = M.table(spark, d, "conversations")
