@@ -9,7 +9,6 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import graph, matching, resolve, transcripts
 from ..sources import model as M
-from ..streaming import state
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -228,20 +227,3 @@ def significance(spark, d):
     length = F.when(n > 30, 0.8).when(n > 15, 0.4).otherwise(0.0)
     score = 0.8 * T.educational_value(F.col("text"), L.TEST_MARKERS) + 1.2 * marked + place + length
     return c.select("conv_id", "turn", F.round(F.least(score, F.lit(5.0)), 6).alias("significance"))
-
-
-@query("rate_limit_u1")
-def rate_limit(spark, d):
-    e = M.table(spark, d, "events").select(F.col("user_id").alias("client"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
-    return state.rate_limit(e, 3600 * 6, 3)
-
-
-@query("cache_replay_u2")
-def cache_replay(spark, d):
-    e = M.table(spark, d, "events").select(F.col("event_type").alias("cache"), F.col("user_id").cast("string").alias("key"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
-    return state.cache_stats(state.cache_replay(e, 50, 3600 * 24))
-
-
-@query("event_windows_u6", "SELECT event_type, date_trunc('hour', ts) AS begin, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
-def event_windows(spark, d):
-    return state.event_windows(M.table(spark, d, "events"))

@@ -6,9 +6,13 @@ it beside the old one and swap.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 SCHEMA = "concept_id string, representations map<string,array<string>>, prerequisites array<string>, related array<string>, metadata map<string,string>"
 #: Categories that have a file from the start; others go to the last.
 CATEGORIES = ("mathematics", "physics", "computer_science", "interdisciplinary")
@@ -18,15 +22,54 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """All concepts of JSONL files, with the file's name as category.
 
     Blank lines, comments, broken lines and lines without an id are left out; of equal
-    ids the greatest line of the last file stays. Texts are lower-cased, missing lists
-    are empty.
+    ids the last line of the last file (by name) stays. Texts are lower-cased, missing
+    lists are empty.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1).alias("category"))
+    # rows of a split are numbered in order, and splits of a file by where they start
+    place = F.struct(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl?$", 1).alias("category"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(T.strip(F.col("value")).alias("line"), place.alias("place"))
     real = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    parsed = real.select("category", "line", F.from_json("line", SCHEMA, {"mode": "PERMISSIVE"}).alias("c")).filter("c.concept_id is not null")
-    last = parsed.groupBy("c.concept_id").agg(F.max(F.struct("category", "line")).alias("last"))
-    again = last.select(F.from_json("last.line", SCHEMA).alias("c"), "last.category").select("c.*", "category")
-    return validated(again)
+    parsed = real.select("line", "place", F.from_json("line", SCHEMA, {"mode": "PERMISSIVE"}).alias("c")).filter("c.concept_id is not null")
+    last = parsed.groupBy("c.concept_id").agg(F.max_by("line", "place").alias("line"), F.max("place")["category"].alias("category"))
+    return validated(last.select(F.from_json("line", SCHEMA).alias("c"), "category").select("c.*", "category"))
+
+
+def ensure_files(path: str) -> list[str]:
+    """The standard files' names; those that are missing are made, empty, and need a local or mounted folder."""
+    import os
+
+    os.makedirs(path, exist_ok=True)
+    names = [f"{path}/{c}.jsonl" for c in CATEGORIES]
+    for n in names:
+        with open(n, "a", encoding="utf-8"):
+            pass
+    return names
+
+
+def category_of(concepts: DataFrame, ids: DataFrame) -> DataFrame:
+    """concept_id and its category; the last one for those that no file has."""
+    return ids.join(concepts.select("concept_id", "category"), "concept_id", "left").select("concept_id", F.coalesce("category", F.lit(CATEGORIES[-1])).alias("category"))
+
+
+def edit(concepts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Concepts with the changes of their id applied, and links to renamed ones turned to the new id.
+
+    changes: concept_id, new_id, add_prerequisites, drop_prerequisites, add_related, drop_related
+    (arrays), metadata (map), category; a null leaves things as they are.
+    """
+    none, nothing = F.expr("cast(array() as array<string>)"), F.expr("cast(map() as map<string,string>)")
+    moved = changes.filter("new_id is not null").select(F.col("concept_id").alias("was"), "new_id")
+    c = changes.withColumnsRenamed({"metadata": "new_metadata", "category": "new_category"})
+    joined = concepts.join(c, "concept_id", "left")
+    lists = lambda name: F.array_except(F.array_union(F.coalesce(name, none), F.coalesce(f"add_{name}", none)), F.coalesce(f"drop_{name}", none))
+    kept = F.map_filter(F.coalesce("metadata", nothing), lambda k, _: ~F.array_contains(F.coalesce(F.map_keys("new_metadata"), none), k))
+    out = joined.withColumns({"prerequisites": lists("prerequisites"), "related": lists("related"), "metadata": F.map_concat(kept, F.coalesce("new_metadata", nothing)), "category": F.coalesce("new_category", "category")})
+    renamed = out.withColumn("concept_id", F.coalesce("new_id", "concept_id")).select(concepts.columns)
+    for name in ("prerequisites", "related"):
+        each = renamed.select("concept_id", F.posexplode(name).alias("k", "was")).join(moved, "was", "left").select("concept_id", "k", F.coalesce("new_id", "was").alias("to"))
+        back = each.groupBy("concept_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "to"))), lambda x: x["to"]).alias("__links"))
+        renamed = renamed.join(back, "concept_id", "left").withColumn(name, F.coalesce("__links", none)).drop("__links")
+    return renamed.select(concepts.columns)
 
 
 def validated(concepts: DataFrame) -> DataFrame:
@@ -105,6 +148,16 @@ def statistics(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("category").agg(F.count("*").alias("concepts"), F.sum(F.size("prerequisites")).alias("prerequisites"), F.sum(F.size("related")).alias("related"), F.sum(texts).alias("texts"))
 
 
-def save(concepts: DataFrame, path: str) -> None:
-    """JSON lines, a folder for each category."""
-    concepts.write.partitionBy("category").mode("overwrite").json(path)
+def save(concepts: DataFrame, path: str) -> str:
+    """JSON lines, a folder for each category, in a new folder below the path, which is returned.
+
+    The folder read before is left as it is: the result may be read from it.
+    """
+    fresh = f"{path.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    concepts.write.partitionBy("category").json(fresh)
+    return fresh
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """A catalogue that save() wrote."""
+    return spark.read.schema(f"{SCHEMA}, category string").json(path)
