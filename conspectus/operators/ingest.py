@@ -27,6 +27,7 @@ class Processed:
 
 def analysed(metadata: DataFrame, captions: DataFrame, markers: list[str], keywords: dict[str, list[str]], theory: list[str], practice: list[str]) -> tuple[DataFrame, DataFrame]:
     """Videos with language, domain and ratio, and their segments with value. captions: video_id, pos, start, duration, text."""
+    captions = captions.select("video_id", "pos", "start", "duration", "text")
     full = transcripts.full_text(captions)
     known = full.select("video_id", T.language(F.col("text")).alias("language"), T.keyword_domain(F.col("text"), keywords).alias("domain"), F.round(T.indicator_ratio(F.col("text"), theory, practice), 6).alias("ratio"))
     videos = metadata.select("video_id", "title").join(known, "video_id")

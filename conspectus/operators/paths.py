@@ -35,7 +35,7 @@ def ordered(inside: DataFrame, edges: DataFrame) -> DataFrame:
     there, are never peeled: they come first, the highest ids first.
     """
     inside, own = cut(inside), cut(induced(inside, edges))
-    key = lambda c: F.struct("path_id", c).cast("struct<p:long,n:long>")
+    key = lambda c: F.struct(F.col("path_id").alias("p"), F.col(c).alias("n"))
     layers = graph.levels(inside.select(key("id").alias("node")), own.select(key("dst").alias("src"), key("src").alias("dst")))
     placed = inside.join(layers.select(F.col("node.p").alias("path_id"), F.col("node.n").alias("id"), "level"), ["path_id", "id"])
     w = Window.partitionBy("path_id").orderBy(F.col("level").isNotNull(), F.desc("level"), F.desc("id"))
@@ -55,9 +55,8 @@ def detailed(path: DataFrame, concepts: DataFrame, edges: DataFrame, related: Da
     """The path with each concept's text and its direct prerequisites and related concepts, as sorted lists."""
     ids = path.select(F.col("id").alias("src")).distinct()
     listed = lambda e, name: e.join(ids, "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias(name))
-    none = F.expr("cast(array() as array<bigint>)")
     out = path.join(concepts.select(F.col("concept_id").alias("id"), "text"), "id").join(listed(edges, "needs"), "id", "left").join(listed(related, "near"), "id", "left")
-    shown = lambda c: F.array_join(F.transform(F.coalesce(c, none), lambda x: x.cast("string")), ",")
+    shown = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(""))
     return out.select("path_id", "place", "id", "text", "is_target", shown("needs").alias("prerequisites"), shown("near").alias("related"))
 
 
@@ -67,16 +66,16 @@ def learning_paths(requests: DataFrame, concepts: DataFrame, edges: DataFrame, r
     return detailed(trimmed(ordered(members(valid, edges), edges), most), concepts, edges, related)
 
 
-def concept_paths(edges: DataFrame, source: int) -> DataFrame:
+def concept_paths(edges: DataFrame, source: int | str) -> DataFrame:
     """node, hops and path from a source by breadth-first search. edges: src, dst, kind (0 related, 1 prerequisite), pos.
 
     Of equally short paths that stays which takes related links before prerequisites, and
     earlier links of a list before later ones, at the first step where they differ.
     """
     spark = edges.sparkSession
-    n = spark.sparkContext.defaultParallelism
+    n, kind = spark.sparkContext.defaultParallelism, dict(edges.dtypes)["src"]
     edges = cut(edges.groupBy("src", "dst").agg(F.min(F.struct("kind", "pos")).alias("turn")))
-    seen = cut(spark.createDataFrame([(source, 0, [source])], "node long, hops int, path array<long>").withColumn("turns", F.expr("cast(array() as array<struct<kind:int,pos:int>>)")))
+    seen = cut(spark.createDataFrame([(source, 0, [source])], f"node {kind}, hops int, path array<{kind}>").withColumn("turns", F.expr("cast(array() as array<struct<kind:int,pos:int>>)")))
     frontier = seen
     while not frontier.isEmpty():
         step = frontier.join(edges, frontier.node == edges.src).select(
@@ -91,7 +90,7 @@ def concept_paths(edges: DataFrame, source: int) -> DataFrame:
 def weighted_order(inside: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
     """Members (path_id, id) with their place by all edges src -> dst, sources first; what is on a cycle comes last by score. scores: id, score."""
     inside, own = cut(inside), cut(induced(inside, edges))
-    key = lambda c: F.struct("path_id", c).cast("struct<p:long,n:long>")
+    key = lambda c: F.struct(F.col("path_id").alias("p"), F.col(c).alias("n"))
     layers = graph.levels(inside.select(key("id").alias("node")), own.select(key("dst").alias("src"), key("src").alias("dst")))
     placed = inside.join(layers.select(F.col("node.p").alias("path_id"), F.col("node.n").alias("id"), "level"), ["path_id", "id"]).join(scores, "id", "left")
     w = Window.partitionBy("path_id").orderBy(F.col("level").isNull(), "level", F.when(F.col("level").isNull(), -F.coalesce("score", F.lit(0.0))), "id")

@@ -312,7 +312,7 @@ def optimise(spark, d):
     return s.read("occurrences").agg(F.count("*").alias("kept"))
 
 
-@query("bootstrap_b1", "SELECT * FROM (VALUES ('concepts', 0), ('occurrences', 0), ('relationships', 0), ('representations', 0), ('search_index', 0), ('segments', 0), ('videos', 0)) v(name, n)")
+@query("bootstrap_b1", "SELECT * FROM (VALUES ('candidates', 0), ('concepts', 0), ('occurrences', 0), ('relationships', 0), ('representations', 0), ('search_index', 0), ('segments', 0), ('videos', 0)) v(name, n)")
 def bootstrap(spark, d):
     s = ST.Store(spark, lineage.folder(spark))
     s.bootstrap()

@@ -23,6 +23,7 @@ SCHEMAS = {
     "representations": "representation_id string, concept_id string, language string, text string, normalized_text string",
     "relationships": "source_id string, target_id string, relationship_type string",
     "occurrences": "occurrence_id string, concept_id string, video_id string, segment_id string, start_time double, significance double, kind string, similarity double, context string",
+    "candidates": "candidate_id string, video_id string, text string, method string, score double, domain string, segments array<string>, rank int, status string, language string, concept_id string, rejection_reason string",
     "search_index": "id string, text string, language string, item_type string, video_id string, significance double",
 }
 SORTED = {"segments": ["video_id", "start_time"], "occurrences": ["video_id", "concept_id"], "search_index": ["video_id", "id"]}
