@@ -15,9 +15,8 @@ from . import transcripts
 from .lineage import cut
 
 
-def term_grams(c: Column, stopwords: list[str] | None = None) -> Column:
-    """Words that are no stopwords, and runs of two and three words that neither begin nor end with one."""
-    ws = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def term_grams(ws: Column, stopwords: list[str] | None = None) -> Column:
+    """Of a column of words: those that are no stopwords, and runs of two and three that neither begin nor end with one."""
     stop = F.array(*map(F.lit, stopwords or L.STOPWORDS["en"]))
     plain = lambda w: ~F.array_contains(stop, w)
 
@@ -35,8 +34,10 @@ def weighted_terms(segments: DataFrame, keys: list[str], segment: str, stopwords
     the ``features`` most frequent count. Weights are frequency times the smoothed inverse
     segment frequency, each segment scaled to unit length.
     """
-    held = segments.select(*keys, segment, term_grams(F.col("text"), stopwords).alias("g"))
-    total = held.groupBy(*keys).agg(F.count("*").alias("total"))
+    # words get a column of their own: an expression would be evaluated for each run
+    words = segments.select(*keys, segment, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
+    held = words.select(*keys, segment, term_grams(F.col("w"), stopwords).alias("g"))
+    total = segments.groupBy(*keys).agg(F.count("*").alias("total"))
     tf = cut(held.select(*keys, segment, F.explode("g").alias("term")).groupBy(*keys, segment, "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(total, keys)
     used = df.filter((F.col("df") >= least_df) & (F.col("df") <= share * F.col("total")))
