@@ -15,16 +15,16 @@ from . import transcripts
 from .lineage import cut
 
 
-def term_grams(ws: Column, stopwords: list[str] | None = None) -> Column:
-    """Of a column of words: those that are no stopwords, and runs of two and three that neither begin nor end with one."""
-    stop = F.array(*map(F.lit, stopwords or L.STOPWORDS["en"]))
-    plain = lambda w: ~F.array_contains(stop, w)
-
-    def runs(n: int) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: plain(F.element_at(ws, i)) & plain(F.element_at(ws, i + n - 1)))
-        return F.when(F.size(ws) >= n, F.transform(at, lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(F.filter(ws, plain), runs(2), runs(3))
+def term_grams(segments: DataFrame, keys: list[str], stopwords: list[str] | None = None) -> DataFrame:
+    """keys and term: words that are no stopwords, and runs of two and three that neither begin nor end with one. keys name one segment."""
+    words = segments.select(*keys, F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("pos", "one"))
+    w = Window.partitionBy(*keys).orderBy("pos")
+    runs = words.withColumns({"two": F.lead("one", 1).over(w), "three": F.lead("one", 2).over(w)})
+    stop = stopwords or L.STOPWORDS["en"]
+    plain = lambda c: F.col(c).isNotNull() & ~F.col(c).isin(*stop)
+    joined = lambda *cs: F.concat_ws(" ", *cs)
+    grams = F.array(F.when(plain("one"), F.col("one")), F.when(plain("one") & plain("two"), joined("one", "two")), F.when(plain("one") & plain("three"), joined("one", "two", "three")))
+    return runs.select(*keys, F.explode(F.array_compact(grams)).alias("term"))
 
 
 def weighted_terms(segments: DataFrame, keys: list[str], segment: str, stopwords: list[str] | None = None, features: int = 1000, most: int = 50, least_df: int = 2, share: float = 0.95, scale: float = 3.0) -> DataFrame:
@@ -34,11 +34,8 @@ def weighted_terms(segments: DataFrame, keys: list[str], segment: str, stopwords
     the ``features`` most frequent count. Weights are frequency times the smoothed inverse
     segment frequency, each segment scaled to unit length.
     """
-    # words get a column of their own: an expression would be evaluated for each run
-    words = segments.select(*keys, segment, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
-    held = words.select(*keys, segment, term_grams(F.col("w"), stopwords).alias("g"))
     total = segments.groupBy(*keys).agg(F.count("*").alias("total"))
-    tf = cut(held.select(*keys, segment, F.explode("g").alias("term")).groupBy(*keys, segment, "term").agg(F.count("*").alias("tf")))
+    tf = cut(term_grams(segments, [*keys, segment], stopwords).groupBy(*keys, segment, "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).join(total, keys)
     used = df.filter((F.col("df") >= least_df) & (F.col("df") <= share * F.col("total")))
     used = used.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("all"), "term"))).filter(F.col("n") <= features)

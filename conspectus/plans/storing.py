@@ -355,6 +355,11 @@ _PROC = {"theory": L.TEST_MARKERS[:3], "practice": L.TEST_MARKERS[3:]}
 _RATIO = f"SELECT conv_id, CASE WHEN t + p = 0 THEN 0.5 ELSE 1 / (1 + 2.5 * pow(2.71828, -5 * (t / (t + p) - 0.5))) END AS r FROM (SELECT conv_id, CAST({count_sql('lower(text)', _PROC['theory'])} AS DOUBLE) AS t, CAST({count_sql('lower(text)', _PROC['practice'])} AS DOUBLE) AS p FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id))"
 
 
+def _analysed(spark, d):
+    t = M.transcripts(spark, d)
+    return ingest.analysed(t.select("video_id").distinct().withColumn("title", F.lit("t")), t, L.TEST_MARKERS, L.TEST_DOMAINS, _PROC["theory"], _PROC["practice"])
+
+
 def _batch(spark, d):
     from .mining import _GROUPS, _TERMS, catalogue
 
@@ -365,12 +370,12 @@ def _batch(spark, d):
 
 @query("processed_videos_i1", f"SELECT conv_id AS video_id, 'en' AS language, round(r, 6) AS ratio FROM ({_RATIO})")
 def processed_videos(spark, d):
-    return _batch(spark, d).videos.select("video_id", "language", "ratio")
+    return _analysed(spark, d)[0].select("video_id", "language", "ratio")
 
 
 @query("processed_segments_i13", f"SELECT conv_id AS video_id, turn AS pos, round(0.8 * ({has_sql('lower(t)', L.TEST_MARKERS)}) + least(len({words_sql('t')}) / 20.0, 2.0), 6) AS value FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\\s+', ' ', 'g'), ' i ', ' I '), '([\\p{{L}}\\p{{N}}_])\\.([\\p{{L}}\\p{{N}}_])', '\\1. \\2', 'g'), '\\[[^\\]]*\\]:?', '', 'g'), '\\.{{3,}}', '...', 'g'), '\\s+([,.])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE trim(text) <> '')")
 def processed_segments(spark, d):
-    return _batch(spark, d).segments.select("video_id", "pos", F.col("educational_value").alias("value"))
+    return _analysed(spark, d)[1].select("video_id", "pos", F.col("educational_value").alias("value"))
 
 
 @query("batch_results_s2", "SELECT DISTINCT conv_id AS video_id, 'completed' AS status, CAST(NULL AS VARCHAR) AS reason FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 'error', 'no transcript'), (-2, 'error', 'no transcript')) v")
