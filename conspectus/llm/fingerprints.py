@@ -24,7 +24,7 @@ from .text import U
 PERMUTATIONS = 128
 WORDS = 5
 #: Bytes of text in one range of the ordered exchange, about, and how many ranges there are at most.
-RANGE_BYTES, MOST_RANGES = 24 << 20, 10_000
+RANGE_BYTES, MOST_RANGES = 8 << 20, 10_000
 _LOW = -(1 << 63)
 
 
