@@ -244,10 +244,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher = _fss) -> DataFrame:
-    """One row per document: doc_id, key1, key2, n_shingles and root, the number of its component.
+    """One row per document: doc_id, key1, key2, n_shingles, root (the number of its component) and least (its smallest doc_id).
 
-    key1 and key2 are equal for equal word sequences. root is null for a document without
-    words, which is linked with nothing.
+    key1 and key2 are equal for equal word sequences. root and least are null for a document
+    without words, which is linked with nothing.
     """
     spark = docs.sparkSession
     work = common.Workspace(spark)
@@ -295,8 +295,11 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketche
     final = roots
     if not extra.isEmpty():
         final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(extra), work)
-    named = classes.select(*keys, "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = work.save(named.select(*keys, F.coalesce("root", "rep").alias("root")), "components")
+    rooted = classes.select(*keys, "rep", "doc_id").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    rooted = work.save(rooted.select(*keys, "doc_id", F.coalesce("root", "rep").alias("root")), "roots")
+    # smallest ids are found among classes, so documents meet their component in one join on their keys
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = work.save(rooted.drop("doc_id").join(least, "root").select(*keys, "root", "least"), "components")
     work.keep(profiled, named)
     return profiled.select("doc_id", *keys, "n_shingles").join(named, keys, "left")
 
@@ -314,10 +317,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, sketcher: Sketcher
     taken whole. An empty table gives an empty table. Other columns, whatever their
     names, are left out.
     """
-    found = linked(docs, words, percent, sketcher)
-    # root numbers are unique, so the few components that hold many documents combine before their shuffle
-    least = found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = found.join(least, "root", "left")
+    out = linked(docs, words, percent, sketcher)
     component = F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
