@@ -93,3 +93,8 @@ def find_mlcs(sequences: list[list[str]], least: int = 2) -> list[str]:
 @F.pandas_udf(ArrayType(StringType()))
 def mlcs(sequences: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else find_mlcs([list(s) for s in x]) for x in sequences])
+
+
+@F.pandas_udf(StringType())
+def lcs_text(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else "".join(lcs_string(x, y)) for x, y in zip(a, b, strict=True)])

@@ -1,8 +1,8 @@
 """Registered queries of the concept index, and the same queries in SQL."""
 
-from . import graphs, language, mining, relational, resolving, searching, storing, textual
+from . import graphs, language, lookups, mining, relational, resolving, searching, storing, textual
 
-MODULES = (relational, textual, language, graphs, searching, resolving, mining, storing)
+MODULES = (relational, textual, language, graphs, searching, resolving, mining, storing, lookups)
 
 
 def queries() -> dict:

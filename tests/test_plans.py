@@ -16,7 +16,7 @@ from conspectus.operators import graph, matching, resolve, transcripts
 from conspectus.streaming import state
 
 #: One query of each family; the correctness gate runs all of them.
-SOME = ["concept_occurrences_c2", "facets_e8", "top3_videos_f6", "related_union_g6", "save_occurrences_b7", "sentences_i9", "educational_value_i12", "lcs_similarity_n1", "closure_p1", "topological_levels_p3", "phrase_search_q1"]
+SOME = ["concept_occurrences_c2", "facets_e8", "top3_videos_f6", "related_union_g6", "save_occurrences_b7", "sentences_i9", "educational_value_i12", "lcs_similarity_n1", "closure_p1", "topological_levels_p3", "phrase_search_q1", "learning_path_p6", "ranked_search_f2", "segment_occurrences_k8", "signatures_o1", "norm_transcript_ru_h8", "load_concepts_a1"]
 
 
 def plain(v):
