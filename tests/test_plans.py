@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from conspectus import plans
 from conspectus.functions import lcs, morphology
 from conspectus.functions import text as T
-from conspectus.operators import graph, matching, resolve, transcripts
+from conspectus.operators import graph, matching, paths, resolve, transcripts
 from conspectus.streaming import state
 
 #: One query of each family; the correctness gate runs all of them.
@@ -128,10 +128,12 @@ def test_shortest_paths_have_no_depth_limit(spark, sf_dir):
     chain = [(i, i + 1) for i in range(1, 56)] + [(56, 1), (3, 1), (90, 91)]
     got = graph.shortest_paths(spark.createDataFrame(chain, "src long, dst long"), 1).collect()
     assert {r.node: r.hops for r in got} == brute(chain, 1) and max(r.hops for r in got) == 55
+    typed = spark.createDataFrame([(a, b, 0, 0) for a, b in chain], "src long, dst long, kind int, pos int")
+    assert {r.node: r.hops for r in paths.concept_paths(typed, 1).collect()} == brute(chain, 1)
     parts = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()]
-    steps = {(p, q % len(parts) + 1) for p in parts for q in (3 * p + 1, 2 * p)}
-    got = {r.node: r.hops for r in plans.queries()["shortest_path_all_p7"](spark, sf_dir).collect()}
-    assert got == brute(steps, 1) and max(got.values()) > 8
+    steps = {(p, q) for p in parts for q in ((7 * p + 3) % len(parts), (11 * p + 5) % len(parts), p // 2)}
+    got = {r.node: r.hops for r in plans.queries()["shortest_path_p7"](spark, sf_dir).collect()}
+    assert got == brute(steps, 1) and len(got) == len(parts)
 
 
 def test_lookup_and_closure_of_all_rows(spark, sf_dir):
